@@ -44,6 +44,29 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Rows of a table of row numbers that may be broadcast (8 MB of numbers).
+BROADCAST_ROWS = 1_000_000
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a column ``row`` that numbers them and all their own columns in ``doc``, written down so that numbers hold."""
+    named = [F.col(f"`{c}`") for c in docs.columns]
+    light = [F.col(f"`{c}`") for c in ("doc_id", "text", "source") if c in docs.columns]
+    return written(docs.select(F.monotonically_increasing_id().alias("row"), *light, F.struct(*named).alias("doc")))
+
+
+def without(held: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The documents of ``numbered`` but those whose ``row`` is in ``dropped``, with their own columns alone."""
+    dropped = checkpoint(dropped.select("row"))
+    if dropped.count() <= BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
+    return held.select("row", "doc").join(dropped, "row", "left_anti").select("doc.*")
+
+
+def row_number(row: str | None) -> Column:
+    return F.col(row) if row else F.monotonically_increasing_id()
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import SPACE, checkpoint, text_of
+from kinweave.llm.common import SPACE, checkpoint, numbered, row_number, text_of, without
 
 #: Rows of one index shard, and of one lookup task's group, on average and at most.
 SHARD_DIGESTS, LOOKUP_ROWS = 1024, 2048
@@ -15,12 +15,12 @@ INDEX = "shard long, n long, pilots binary, digests binary, keep_ids binary, kee
 FOUND = "row_id long, doc_id long, n_chars_all long, digest binary, member boolean, keep_id long, keep_row long, group_size long"
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, row: str | None = None) -> DataFrame:
     """row_id, doc_id, n_chars_all (code points of the original text) and the digest of the text without white space."""
     text = text_of()
     bare = F.regexp_replace(text, f"[{SPACE}]+", "")
     return docs.select(
-        F.monotonically_increasing_id().alias("row_id"),
+        row_number(row).alias("row_id"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.char_length(text).cast("long").alias("n_chars_all"),
         F.unhex(F.sha2(bare, 256)).alias("digest"),
@@ -145,16 +145,17 @@ def look_up(rows: DataFrame, index: DataFrame, shards: int) -> DataFrame:
     return dealt.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInPandas(_look_up, FOUND)
 
 
-def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, history: DataFrame | None = None, row: str | None = None) -> DataFrame:
     """Rows: row_id, doc_id, keep_id, group_size, kept, known, text_sha256; one for each row of ``docs``.
 
     Texts are equal if they are identical without white space (space, tab to carriage return); null is empty.
     ``history`` None: the documents are their own history, and of each group the longest original stays, then the
     smallest id (null ids last, then the first of identical rows). With a ``history``, members repeat something
     historical: none is kept, and keep_id is the historical winner; nonmembers group among themselves.
-    An empty table gives no rows. Only doc_id and text are read, so other columns cannot clash.
+    An empty table gives no rows. Only doc_id and text are read, so other columns cannot clash. ``row`` names a column
+    that numbers the rows; else they are numbered here.
     """
-    rows = checkpoint(digests(docs))
+    rows = checkpoint(digests(docs, row))
     past = rows if history is None else checkpoint(digests(history))
     shards = max(1, -(-past.count() // SHARD_DIGESTS))
     found = look_up(rows, build_index(past, shards), shards)
@@ -169,3 +170,9 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
         F.col("member").alias("known"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+def keep_first(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """``docs`` without the rows that ``exact_dedup`` doesn't keep, all columns as they are."""
+    held = numbered(docs)
+    return without(held, exact_dedup(held, history, "row").filter(~F.col("kept")).withColumnRenamed("row_id", "row"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kinweave.llm.common import SPACE, checkpoint, feistel, text_of, written
+from kinweave.llm.common import SPACE, checkpoint, feistel, numbered, row_number, text_of
 
 #: Words of a block, documents of a bucket (whose starts are summed in one task), slots of a shard at least, shards at most.
 BLOCK, BUCKET_ROWS, SHARD_SLOTS, MOST_SHARDS = 64, 2048, 4096, 65_536
@@ -93,7 +93,7 @@ def plan(docs: DataFrame, block: int = BLOCK, row: str | None = None) -> tuple[D
     """
     spark = docs.sparkSession
     base = checkpoint(docs.select(
-        (F.col(row) if row else F.monotonically_increasing_id()).alias("row_id"),
+        row_number(row).alias("row_id"),
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         F.regexp_count(text_of(), F.lit(f"[^{SPACE}]+")).cast("long").alias("size"),
     ))
@@ -139,13 +139,13 @@ def mix_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     A pass that takes all of a document keeps its text unchanged; else the taken stretches are joined, each word with
     the white space after it. Documents of no words are never taken. n_chars, if there, is set anew.
     """
-    held = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", text_of().alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")))
+    held = numbered(docs)
     base, taken = plan(held, block, "row")
     spans = taken.groupBy("row_id", "pass").agg(F.sum("n_words").alias("taken_words"), F.sort_array(F.collect_list(F.struct("first", "n_words"))).alias("spans"))
     spans = spans.join(base.select("row_id", (F.col("size") * 1).alias("all_words")), "row_id").withColumnRenamed("row_id", "row")
     words = F.regexp_extract_all(F.col("text"), F.lit(f"([^{SPACE}]+[{SPACE}]*)"), F.lit(1))
     whole = F.col("taken_words") == F.col("all_words")
-    out = held.select("row", "text", "doc").join(spans, "row").withColumn("words", F.when(~whole, words))
+    out = held.select("row", text_of().alias("text"), "doc").join(spans, "row").withColumn("words", F.when(~whole, words))
     part = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(F.col("words"), s["first"].cast("int") + 1, s["n_words"].cast("int")))), "")
     out = out.withColumn("text", F.when(whole, F.col("text")).otherwise(part))
     new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}

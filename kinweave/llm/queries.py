@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import exact_dedup, language, mixing, packing, simhash, tokens, toxicity, url_filter
+from kinweave.llm import exact_dedup, language, media, mixing, packing, simhash, token_shards, tokens, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -43,6 +47,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = token_shards.write_shards(table(spark, sf_dir, "documents"), token_shards.new_folder(spark))
+    return token_shards.read_shards(spark, shards).drop("ids")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -52,7 +61,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op3_exact_dedup, op4_token_counts, op5_simhash, op6_mixing, op7_toxicity, op9_packing, op10_url_filter)}
+    return {f.__name__: f for f in (op1_language_id, op2_media, op3_exact_dedup, op4_token_counts, op5_simhash, op6_mixing, op7_toxicity, op8_token_shards, op9_packing, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -11,132 +12,183 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import checkpoint, text_of
+from kinweave.llm.common import checkpoint, numbered, row_number, text_of, without
 from kinweave.llm.components import components
 
-#: Fingerprints of 8 bytes at most 4 bits apart share 4 positional bytes at least, so 3 of any 7.
-BITS, BYTES, SHARED = 4, 8, 4
-KEYS = tuple(combinations(range(BYTES - 1), SHARED - 1))
+#: Members of a posting list that are compared at once; longer ones are walked from link to link.
+SHORT = 64
 
 
-def fingerprint(text: str, words: int, seed: int = 42) -> int:
-    """64 bits; bit b is 1 if it is set in over half of the shingles' XXH64. 0 without words."""
+@dataclass(frozen=True)
+class Settings:
+    """words: of a shingle. seeds: of the hashes, each giving 64 bits of the fingerprint. bits: that may differ.
+    shared: positional bytes that a pair must share. key: positions of a posting list's key, of ``positions`` first ones."""
+
+    words: int = 4
+    seeds: tuple[int, ...] = (42,)
+    bits: int = 4
+    shared: int = 4
+    key: int = 3
+    positions: int = 7
+
+    def keys(self) -> list[tuple[int, ...]]:
+        return list(combinations(range(self.positions), self.key))
+
+
+#: 64 bits of which 4 may differ: a pair shares 4 of 8 positional bytes at least, so 3 of any 7.
+EXACT = Settings()
+#: Five words and similarity 0.8: 128 bits of which 20 may differ, the angle that sets of that similarity have on average.
+#: So many bits can spoil any byte, so two shared bytes of sixteen aren't guaranteed, but nearly certain (see README).
+SIMILAR = Settings(words=5, seeds=(42, 43), bits=20, shared=2, key=2, positions=16)
+
+
+def fingerprint(text: str, words: int, seeds: tuple[int, ...] = (42,)) -> np.ndarray:
+    """64 bits for each seed; bit b is 1 if it is set in over half of the shingles' XXH64. 0 without words."""
     own = text.encode("utf-8", "surrogatepass").lower().split()
     if not own:
-        return 0
+        return np.zeros(len(seeds), np.uint64)
     joined = b" ".join(own)
     size = np.fromiter(map(len, own), np.int64, len(own))
     end = np.cumsum(size + 1) - 1
     begin = end - size
     n = max(1, len(own) - words + 1)
     hash_ = xxhash.xxh64_intdigest
-    sums, last = np.zeros(64, np.int64), end[words - 1 :] if len(own) >= words else end[-1:]
+    sums, last = np.zeros((len(seeds), 64), np.int64), end[words - 1 :] if len(own) >= words else end[-1:]
     for at in range(0, n, 65_536):
-        stretch = zip(begin[at : min(n, at + 65_536)].tolist(), last[at : at + 65_536].tolist(), strict=True)
-        hashes = np.array([hash_(joined[b:e], seed) for b, e in stretch], "<u8")
-        sums += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(sums * 2 > n, bitorder="little").view("<u8")[0])
+        shingles = [joined[b:e] for b, e in zip(begin[at : min(n, at + 65_536)].tolist(), last[at : at + 65_536].tolist(), strict=True)]
+        for k, seed in enumerate(seeds):
+            hashes = np.array([hash_(x, seed) for x in shingles], "<u8")
+            sums[k] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(sums * 2 > n, axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def _fingerprints(words: int):
+def _fingerprints(settings: Settings):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            found = np.array([fingerprint(x, words) for x in rows.pop("text")], np.uint64)
-            yield rows.assign(fp=found.view(np.int64))
+            found = np.array([fingerprint(x, settings.words, settings.seeds) for x in rows.pop("text")], np.uint64).reshape(len(rows), -1)
+            yield rows.assign(**{f"fp{k}": found[:, k].view(np.int64) if len(rows) else [] for k in range(len(settings.seeds))})
 
     return run
 
 
-def near(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """The count filter, then the check: which fingerprints share enough positional bytes and differ in few bits."""
+def near(one: np.ndarray, many: np.ndarray, settings: Settings = EXACT) -> np.ndarray:
+    """The count filter, then the check: which fingerprints (rows) share enough positional bytes and differ in few bits."""
     differ = np.ascontiguousarray(one ^ many)
-    tally = (differ.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
-    return (tally >= SHARED) & (np.bitwise_count(differ) <= BITS)
+    tally = (differ.view(np.uint8) == 0).sum(axis=1)
+    return (tally >= settings.shared) & (np.bitwise_count(differ).sum(axis=1) <= settings.bits)
 
 
-def forest(own: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def forest(node: np.ndarray, fp: np.ndarray, settings: Settings = EXACT) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links that connect whatever the linked pairs of one posting list connect, fewer than there are members.
 
     A member that is linked leaves those still to be reached, so groups of copies take a few passes, not all pairs.
     """
-    out, rest = [], own
-    while len(rest) > 1:
-        queue, rest = [rest[0]], rest[1:]
-        while queue and len(rest):
-            at = queue.pop()
-            hit = near(at, rest)
-            if hit.any():
-                out.append((np.full(int(hit.sum()), at), rest[hit]))
-                queue += list(rest[hit])
-                rest = rest[~hit]
+    out, rest = [], np.arange(1, len(node))
+    queue = [0]
+    while len(rest):
+        if not queue:
+            queue, rest = [rest[0]], rest[1:]
+            continue
+        at = queue.pop()
+        hit = near(fp[at], fp[rest], settings)
+        if hit.any():
+            out.append((np.full(int(hit.sum()), node[at]), node[rest[hit]]))
+            queue += rest[hit].tolist()
+            rest = rest[~hit]
     return out
 
 
-def _link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Walks posting lists that come sorted by key and gives the links in each; a list may span batches."""
+def within(key: np.ndarray, node: np.ndarray, fp: np.ndarray, settings: Settings = EXACT) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links in whole posting lists, sorted by key: all pairs of short lists, at growing distances; long ones by ``forest``."""
+    edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+    length = np.diff(edge)
+    short = np.repeat(length <= SHORT, length)
+    out = []
+    for step in range(1, min(SHORT, int(length.max(initial=1)))):
+        at = np.flatnonzero((key[step:] == key[:-step]) & short[step:])
+        hit = at[near(fp[at], fp[at + step], settings)]
+        out.append((node[hit], node[hit + step]))
+    for b, n in zip(edge[:-1][length > SHORT], length[length > SHORT], strict=True):
+        out += forest(node[b : b + n], fp[b : b + n], settings)
+    return out
 
-    def within(key: np.ndarray, fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-        length = np.diff(edge)
-        two = edge[:-1][length == 2]
-        hit = two[near(fp[two], fp[two + 1])]
-        out = [(fp[hit], fp[hit + 1])] if len(hit) else []
-        for b, n in zip(edge[:-1][length > 2], length[length > 2], strict=True):
-            out += forest(fp[b : b + n])
-        return out
 
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+def _linker(settings: Settings):
+    """Walks posting lists that come sorted by key and gives the links in each; a list may span batches."""
+    names = [f"fp{k}" for k in range(len(settings.seeds))]
 
-    def rows(links):
+    def rows(lists):
+        links = within(*(np.concatenate(x) for x in zip(*lists, strict=True)), settings)
         if links:
-            a, b = (np.concatenate(x).view(np.int64) for x in zip(*links, strict=True))
+            a, b = (np.concatenate(x) for x in zip(*links, strict=True))
             yield pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).drop_duplicates()
 
-    for batch in batches:
-        key, fp = batch["key"].to_numpy(), batch["fp"].to_numpy().view(np.uint64)
-        if not len(key):
-            continue
-        last = np.searchsorted(key, key[-1])  # the last list may go on
-        if last:
-            done = [*held, (key[:last], fp[:last])]
-            yield from rows(within(*(np.concatenate(x) for x in zip(*done, strict=True))))
-            held = []
-        held.append((key[last:], fp[last:]))
-    if held:
-        yield from rows(within(*(np.concatenate(x) for x in zip(*held, strict=True))))
-
-
-def links(fps: DataFrame) -> DataFrame:
-    """Links (a > b) between distinct fingerprints (column fp) that connect all that differ in few enough bits.
-
-    The index has a posting list for every value of every three of the first seven byte positions: a pair that shares
-    the guaranteed four of eight shares three of those seven, and lists of one position alone would hold a 256th of all
-    fingerprints. Each pair in a list is tallied over all eight positions, and verified if it reaches four.
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            key, node = batch["key"].to_numpy(), batch["node"].to_numpy()
+            fp = np.ascontiguousarray(batch[names].to_numpy(np.int64)).view(np.uint64)
+            last = int(np.searchsorted(key, key[-1]))  # the last list may go on
+            if last:
+                yield from rows([*held, (key[:last], node[:last], fp[:last])])
+                held = []
+            elif held and held[0][0][0] != key[0]:
+                yield from rows(held)
+                held = []
+            held.append((key[last:], node[last:], fp[last:]))
+        if held:
+            yield from rows(held)
+
+    return link
+
+
+def links(nodes: DataFrame, settings: Settings = EXACT) -> DataFrame:
+    """Links (a > b) that connect all nodes (node, fp0, ..) whose fingerprints differ in few enough bits.
+
+    The inverted index has a posting list for every value of every ``key`` of the first ``positions`` byte positions,
+    rather than of single ones: a pair that shares the guaranteed bytes is in such a list together, and lists of one
+    position would hold a 256th of all fingerprints. A pair's shared bytes are tallied over all positions.
     """
-    byte = lambda i: F.shiftright(F.col("fp"), 8 * i).bitwiseAND(255)
-    key = lambda k, at: F.lit(k << 24) + byte(at[0]) * 65536 + byte(at[1]) * 256 + byte(at[2])
-    postings = fps.select("fp", F.explode(F.array(*[key(k, at).cast("long") for k, at in enumerate(KEYS)])).alias("key"))
-    parts = fps.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    listed = postings.repartition(int(parts), "key").sortWithinPartitions("key", "fp")
-    return listed.select("key", "fp").mapInPandas(_link, "a long, b long").distinct()
+    byte = lambda i: F.shiftright(F.col(f"fp{i // 8}"), 8 * (i % 8)).bitwiseAND(255)
+
+    def key(number: int, at: tuple[int, ...]):
+        out = F.lit(number).cast("long")
+        for i in at:
+            out = out * 256 + byte(i)
+        return out
+
+    names = [f"fp{k}" for k in range(len(settings.seeds))]
+    keys = F.array(*[key(k, at) for k, at in enumerate(settings.keys())])
+    postings = nodes.select("node", *names, F.explode(keys).alias("key"))
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    listed = postings.repartition(parts, "key").sortWithinPartitions("key", "node").select("key", "node", *names)
+    return listed.mapInPandas(_linker(settings), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits), component_id, kept; a row for each document.
+def near_duplicates(docs: DataFrame, settings: Settings = EXACT, row: str | None = None) -> DataFrame:
+    """row_id, doc_id, fingerprint (16 hexadecimal digits for each seed), component_id, kept; a row for each document.
 
-    Fingerprints of ``words``-word shingles link at 4 or fewer differing bits; component_id is the smallest id that is
-    reachable over links, null ids apart, and the first row with it is kept. A null or empty text has fingerprint zero,
-    which links like any other. Equal fingerprints are one node, so copies cost no links. An empty table gives no rows.
+    Fingerprints link if they differ in few enough bits; component_id is the smallest id that is reachable over links,
+    null ids apart, and its first row is kept. A null or empty text has fingerprint zero, which links like any other.
+    Equal fingerprints are one node, so copies cost no links. An empty table gives no rows. ``row`` names a column that
+    numbers the rows; else they are numbered here.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    rows = rows.mapInPandas(_fingerprints(words), "doc_id long, fp long")
-    rows = checkpoint(rows.withColumn("row_id", F.monotonically_increasing_id()))
-    nodes = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("row_id").alias("first_row")))
-    label = components(links(nodes.select("fp")))
-    nodes = nodes.join(label, nodes["fp"] == label["node"], "left").select("fp", "first_id", "first_row", F.coalesce("component", "fp").alias("component"))
-    order = F.struct(F.col("first_id").isNull().alias("a"), "first_id", "first_row")
-    best = nodes.groupBy("component").agg(F.min(order).alias("best"))
-    nodes = nodes.join(best, "component").select("fp", F.col("best.first_id").alias("component_id"), F.col("best.first_row").alias("any_row"))
-    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    return rows.join(nodes, "fp").select("row_id", "doc_id", digits.alias("fingerprint"), "component_id", same.alias("kept"))
+    names = [f"fp{k}" for k in range(len(settings.seeds))]
+    rows = docs.select(row_number(row).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    rows = checkpoint(rows.mapInPandas(_fingerprints(settings), "row_id long, doc_id long, " + ", ".join(f"{x} long" for x in names)))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")
+    nodes = checkpoint(rows.groupBy(*names).agg(F.min(first).alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    label = components(links(nodes.select("node", *names), settings))
+    nodes = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    best = nodes.groupBy("component").agg(F.min("first").alias("best"))
+    nodes = nodes.join(best, "component").select(*names, "best")
+    digits = F.concat(*[F.lower(F.lpad(F.hex(x), 16, "0")) for x in names])
+    return rows.join(nodes, names).select("row_id", "doc_id", digits.alias("fingerprint"), F.col("best.doc_id").alias("component_id"), (F.col("row_id") == F.col("best.row_id")).alias("kept"))
+
+
+def keep_first(docs: DataFrame, settings: Settings = SIMILAR) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, all columns as they are."""
+    held = numbered(docs)
+    return without(held, near_duplicates(held, settings, "row").filter(~F.col("kept")).withColumnRenamed("row_id", "row"))

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from kinweave.llm.common import held_out, text_of
 
 #: Bounds of what is fitted on: confirmed and unlabelled documents (expected numbers), code points of each, words of the model.
-POSITIVES, UNLABELLED, MOST_CHARS, VOCABULARY = 2000, 4000, 32_768, 2048
+POSITIVES, UNLABELLED, MOST_CHARS, VOCABULARY = 2000, 4000, 32_768, 512
 #: Rounds of the optimiser, its step, the weight of the squared coefficients, and how far below 0 the corrected risk may fall.
-ROUNDS, STEP, RIDGE, BETA = 400, 0.03, 2e-4, 0.0
+ROUNDS, STEP, RIDGE, BETA = 1000, 0.03, 2e-5, 0.0
+#: A word of the model stands in so many sampled documents at least, and its frequencies differ by so many standard errors.
+LEAST_DOCS, LEAST_SCORE = 5, 6.0
 #: ASCII but letters and digits separates words; A-Z are lower-cased.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -24,18 +26,18 @@ def words(text: str) -> set[bytes]:
 
 
 def choose_words(positive: list[set[bytes]], unlabelled: list[set[bytes]], most: int = VOCABULARY) -> list[bytes]:
-    """The words whose document frequency differs most, by a two-sample score; ties by the word."""
+    """The words whose document frequencies differ clearly, most first, by a two-sample score; ties by the word."""
     both: dict[bytes, list[int]] = {}
     for k, docs in enumerate((positive, unlabelled)):
         for own in docs:
             for w in own:
                 both.setdefault(w, [0, 0])[k] += 1
-    names = [w for w, c in both.items() if sum(c) >= 3]
+    names = [w for w, c in both.items() if sum(c) >= LEAST_DOCS]
     counts = np.array([both[w] for w in names], float).reshape(-1, 2)
     size = np.array([len(positive), len(unlabelled)], float)
     rate, pooled = counts / size, counts.sum(1) / size.sum()
     score = np.abs(rate[:, 0] - rate[:, 1]) / np.sqrt(pooled * (1 - pooled) * (1 / size).sum() + 1e-9)
-    return [names[i] for i in sorted(range(len(names)), key=lambda i: (-score[i], names[i]))[:most]]
+    return [names[i] for i in sorted(np.flatnonzero(score >= LEAST_SCORE), key=lambda i: (-score[i], names[i]))[:most]]
 
 
 def _matrix(docs: list[set[bytes]], at: dict[bytes, int]) -> np.ndarray:
@@ -91,7 +93,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[bytes, float], float
     rows = docs.filter(~held_out()).select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text")).join(F.broadcast(chosen), "id", "left")
     rows = rows.withColumn("unlabelled", pick(2, UNLABELLED, 0.8 * total)).filter((F.col("positive") | F.col("unlabelled")) & (F.char_length("text") <= MOST_CHARS))
     sample = rows.select("id", "text", F.coalesce("positive", F.lit(False)).alias("positive"), "unlabelled").toPandas().sort_values(["id", "text"])
-    own = {kind: [words(x) for x in sample["text"][sample[kind]]] for kind in ("positive", "unlabelled")}
+    # documents of the same words count once, else a group of copies would make its own words look telling
+    own = {kind: list(dict.fromkeys(frozenset(words(x)) for x in sample["text"][sample[kind]])) for kind in ("positive", "unlabelled")}
     return fit(own["positive"], own["unlabelled"], (seen["toxic"] or 0) / max(seen["n"], 1))
 
 
