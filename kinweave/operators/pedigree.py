@@ -117,7 +117,7 @@ def walk(parents_: DataFrame, roots: DataFrame, cap: int = 8, mode: str = "auto"
 
 def build(parents_: DataFrame, roots: DataFrame, cap: int = 8, mode: str = "auto") -> Pedigree:
     """Nodes, gaps and links of the walk. A missing parent, or one that closes a cycle, is a gap with the weight of its slot."""
-    visit = walk(parents_, roots, cap, mode).join(parents_.select("id", "father", "mother"), "id")
+    visit = checkpoint(walk(parents_, roots, cap, mode).join(parents_.select("id", "father", "mother"), "id"))
     known = F.col("father").isNotNull() | F.col("mother").isNotNull()
     visit = visit.withColumn("ends", ~known | (F.col("depth") >= cap))
 

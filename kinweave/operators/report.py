@@ -53,10 +53,10 @@ def breakdown(nodes: DataFrame) -> DataFrame:
         F.min(F.when(leaf, F.col("path_key"))).alias("first_leaf"), F.min("path_key").alias("first"),
     )
     of = Window.partitionBy("root_id", "granularity")
-    by_share = F.row_number().over(of.orderBy(F.col("fractional").desc_nulls_last(), "first_leaf", "region"))
+    by_share = F.row_number().over(of.orderBy(F.col("fractional").desc_nulls_last(), "first_leaf", "region")).cast("long")
     return sums.select(
         "root_id", "granularity", "region", "fractional", "headcount", F.when(F.col("fractional").isNotNull(), by_share).alias("fractional_rank"),
-        F.row_number().over(of.orderBy(F.col("headcount").desc(), "first", "region")).alias("headcount_rank"),
+        F.row_number().over(of.orderBy(F.col("headcount").desc(), "first", "region")).cast("long").alias("headcount_rank"),
     )
 
 
@@ -85,5 +85,5 @@ def pedigree_counts(nodes: DataFrame, gaps: DataFrame) -> DataFrame:
 def unresolved_birthplaces(nodes: DataFrame) -> DataFrame:
     """Birthplaces that have a text but no point: root_id, place, people, rank (most first, ties by first visit)."""
     rows = nodes.filter((F.col("place") != "") & F.col("coord_lat").isNull()).groupBy("root_id", "place").agg(F.count("*").alias("people"), F.min("path_key").alias("first"))
-    rank = F.row_number().over(Window.partitionBy("root_id").orderBy(F.col("people").desc(), "first"))
+    rank = F.row_number().over(Window.partitionBy("root_id").orderBy(F.col("people").desc(), "first")).cast("long")
     return rows.select("root_id", "place", "people", rank.alias("rank"))

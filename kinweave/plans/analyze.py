@@ -38,7 +38,7 @@ class Analysis:
 
 def people(nodes: DataFrame, individuals: DataFrame) -> DataFrame:
     """One row for each person of the walk, with what is shown of them."""
-    named = individuals.select("id", display_name("given", "surname", "id").alias("name"))
+    named = individuals.select("id", display_name("given", "surname", F.col("id").cast("string")).alias("name"))
     return nodes.join(named, "id").select(
         "root_id", "id", "name", F.array_min("depths").alias("min_depth"), "depths", "contribution_weight", "leaf_weight", "is_leaf", "times_reached",
         F.col("year").alias("birth_year"), F.col("place").alias("birth_place"), F.col("coord_lat").alias("lat"), F.col("coord_lng").alias("lng"),
