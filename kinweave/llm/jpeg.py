@@ -52,9 +52,12 @@ def lookup(body: bytes) -> np.ndarray:
     return out
 
 
+SIZES = np.array([x.bit_length() for x in range(1 << 12)])
+
+
 def _bit_size(x: np.ndarray) -> np.ndarray:
-    """Bits of a non-negative number's binary form."""
-    return np.where(x > 0, np.frexp(x.astype(np.float64))[1], 0).astype(np.int64)
+    """Bits of the binary form of a number from 0 to 4095, more than a coefficient or a difference of 8-bit images needs."""
+    return SIZES[x]
 
 
 def _write_bits(value: np.ndarray, length: np.ndarray, lane: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +73,8 @@ def _write_bits(value: np.ndarray, length: np.ndarray, lane: np.ndarray, lanes:
     value = np.r_[value, (1 << pad) - 1] << (32 - length - (at & 7))
     total, byte = int(size.sum()), at >> 3
     out = np.zeros(total + 4)
-    for k in range(4):
+    # a value starts within its first byte, so the longest tells how many bytes one can touch
+    for k in range((int(length.max(initial=0)) + 14) // 8):
         part = (value >> (24 - 8 * k)) & 255
         out += np.bincount(byte + k, part, total + 4)[: total + 4]
     return out[:total].astype(np.uint8), size
@@ -121,23 +125,29 @@ def _fine_items(x: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray, np.nda
     _, code, size = TABLES[2]
     n, width = x.shape
     low = np.abs(x) >> bit
-    fresh, known, zero = low == 1, low > 1, low == 0
+    known = low > 1
+    rows = np.flatnonzero((low == 1).any(axis=1))  # blocks without anything new have no event but the end
+    fresh, zero = low[rows] == 1, low[rows] == 0
     zeros = np.cumsum(zero, axis=1)
     at = np.arange(width)
     last = np.maximum.accumulate(np.where(fresh, at, -1), axis=1)
-    previous = np.concatenate([np.full((n, 1), -1), last[:, :-1]], axis=1)
+    previous = np.concatenate([np.full((len(rows), 1), -1), last[:, :-1]], axis=1)
     passed = zeros - np.where(previous >= 0, np.take_along_axis(zeros, np.maximum(previous, 0), axis=1), 0)
     sixteen = zero & (passed % 16 == 0) & (passed > 0) & (at < last[:, -1:])
     event = fresh | sixteen
-    block, k = np.nonzero(event)
-    isnew = fresh[block, k]
-    symbol = np.where(isnew, ((passed[block, k] & 15) << 4) | 1, 0xF0)
+    own, k = np.nonzero(event)
+    isnew = fresh[own, k]
+    symbol = np.where(isnew, ((passed[own, k] & 15) << 4) | 1, 0xF0)
+    block = rows[own]
     value = np.where(isnew, (code[symbol] << 1) | (x[block, k] > 0), code[symbol])
     length = size[symbol] + isnew
-    open_ = np.flatnonzero(last[:, -1] < width - 1)
-    until = np.minimum.accumulate(np.where(event, at, width)[:, ::-1], axis=1)[:, ::-1]
+    ends = np.ones(n, bool)
+    ends[rows] = last[:, -1] < width - 1
+    open_ = np.flatnonzero(ends)
+    until = np.full((n, width), width, np.int8)
+    until[rows] = np.minimum.accumulate(np.where(event, at, width)[:, ::-1], axis=1)[:, ::-1]
     b2, k2 = np.nonzero(known)
-    key = np.r_[(block << 14) | (k << 7), (open_ << 14) | (width << 7), (b2 << 14) | (until[b2, k2] << 7) | (k2 + 1)]
+    key = np.r_[(block << 14) | (k << 7), (open_ << 14) | (width << 7), (b2 << 14) | (until[b2, k2].astype(np.int64) << 7) | (k2 + 1)]
     order = np.argsort(key, kind="stable")
     value = np.r_[value, np.full(len(open_), code[0]), low[b2, k2] & 1]
     length = np.r_[length, np.full(len(open_), size[0]), np.ones(len(b2), np.int64)]
