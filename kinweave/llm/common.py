@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Java's regular expression for one character that separates words.
 SPACE = r"\x20\x09-\x0D"
@@ -49,10 +50,26 @@ BROADCAST_ROWS = 1_000_000
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """The documents with a column ``row`` that numbers them and all their own columns in ``doc``, written down so that numbers hold."""
+    """The documents with a column ``row`` that tells them apart and all their own columns in ``doc``.
+
+    ``row`` is the doc_id where that is unique. Rows whose id is null or repeated get a hash of all they hold and, if
+    they are alike in all, of a running number; so numbers hold however often this frame is computed, and no text needs
+    to be written down for them.
+    """
     named = [F.col(f"`{c}`") for c in docs.columns]
-    light = [F.col(f"`{c}`") for c in ("doc_id", "text", "source") if c in docs.columns]
-    return written(docs.select(F.monotonically_increasing_id().alias("row"), *light, F.struct(*named).alias("doc")))
+    light = [F.col(f"`{c}`") for c in ("text", "source") if c in docs.columns]
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *light, F.struct(*named).alias("doc"))
+    odd = checkpoint(held.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select("doc_id"))
+    n = odd.count()
+    if not n:
+        return held.withColumn("row", F.col("doc_id"))
+    odd = odd.filter("doc_id is not null")
+    odd = F.broadcast(odd) if n <= BROADCAST_ROWS else odd
+    alike = F.xxhash64("doc_id", F.to_json("doc")), F.xxhash64(F.to_json("doc"), F.lit(1))
+    rest = held.join(odd, "doc_id", "left_semi").unionByName(held.filter("doc_id is null")).withColumns({"h1": alike[0], "h2": alike[1]})
+    rest = rest.withColumn("twin", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("doc_id")))
+    rest = rest.withColumn("row", F.xxhash64("h1", "h2", "twin")).drop("h1", "h2", "twin")
+    return held.filter("doc_id is not null").join(odd, "doc_id", "left_anti").withColumn("row", F.col("doc_id")).unionByName(rest)
 
 
 def without(held: DataFrame, dropped: DataFrame) -> DataFrame:
