@@ -12,23 +12,38 @@ from pyspark.sql import functions as F
 from kinweave.llm.common import checkpoint
 
 
+#: Links that are contracted at once.
+CHUNK = 500_000
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node that links connect to a smaller one, and the smallest it is connected to."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[moved], nodes[label[moved]]
+
+
 def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Replaces the links of each batch by links to the smallest node that the batch connects to."""
+    """Replaces a partition's links by links to the smallest node that they connect to; fewer than it has nodes."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     for rows in batches:
-        nodes, at = np.unique(np.concatenate([rows["a"].to_numpy(), rows["b"].to_numpy()]), return_inverse=True)
-        a, b = at[: len(rows)], at[len(rows) :]
-        label = np.arange(len(nodes))
-        while True:
-            low = np.minimum(label[a], label[b])
-            new = label.copy()
-            np.minimum.at(new, label[a], low)
-            np.minimum.at(new, label[b], low)
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        moved = np.flatnonzero(label != np.arange(len(nodes)))
-        yield pd.DataFrame({"a": nodes[moved], "b": nodes[label[moved]]})
+        held.append((rows["a"].to_numpy(), rows["b"].to_numpy()))
+        if sum(len(a) for a, _ in held) > CHUNK:
+            held = [stars(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+    if held:
+        a, b = stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield pd.DataFrame({"a": a, "b": b})
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -49,7 +64,8 @@ def components(links: DataFrame) -> DataFrame:
     Alternating large-star and small-star rounds, about the logarithm of the longest chain; each round is written to
     the shared folder. Only whether a round was the last comes to the driver.
     """
-    links = checkpoint(links.select("a", "b").mapInPandas(_contract, "a long, b long"))
+    # partitions of a dense group find the same smallest node, so few different links are left of it
+    links = checkpoint(links.select("a", "b").mapInPandas(_contract, "a long, b long").distinct())
     while True:
         ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
         ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))

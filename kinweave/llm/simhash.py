@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import checkpoint, numbered, row_number, text_of, without
-from kinweave.llm.components import components
+from kinweave.llm.components import components, stars
 
 #: Members of a posting list that are compared at once; longer ones are walked from link to link.
 SHORT = 64
@@ -37,9 +37,9 @@ class Settings:
 
 #: 64 bits of which 4 may differ: a pair shares 4 of 8 positional bytes at least, so 3 of any 7.
 EXACT = Settings()
-#: Five words and similarity 0.8: 128 bits of which 20 may differ, the angle that sets of that similarity have on average.
-#: So many bits can spoil any byte, so two shared bytes of sixteen aren't guaranteed, but nearly certain (see README).
-SIMILAR = Settings(words=5, seeds=(42, 43), bits=20, shared=2, key=2, positions=16)
+#: Five words and similarity 0.8: 128 bits, of which sets of that similarity differ in 19.5 on average, so 22 may differ.
+#: So many bits can spoil any byte, so two shared bytes of sixteen aren't guaranteed, but very likely (see README).
+SIMILAR = Settings(words=5, seeds=(42, 43), bits=22, shared=2, key=2, positions=16)
 
 
 def fingerprint(text: str, words: int, seeds: tuple[int, ...] = (42,)) -> np.ndarray:
@@ -119,9 +119,9 @@ def _linker(settings: Settings):
 
     def rows(lists):
         links = within(*(np.concatenate(x) for x in zip(*lists, strict=True)), settings)
-        if links:
-            a, b = (np.concatenate(x) for x in zip(*links, strict=True))
-            yield pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).drop_duplicates()
+        if links:  # of a batch's lists only what connects their nodes
+            a, b = stars(*(np.concatenate(x) for x in zip(*links, strict=True)))
+            yield pd.DataFrame({"a": a, "b": b})
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, ...]] = []
