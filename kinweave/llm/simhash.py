@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.llm import similar
 from kinweave.llm.common import checkpoint, numbered, row_number, text_of, without
 from kinweave.llm.components import components, stars
 
@@ -37,9 +38,6 @@ class Settings:
 
 #: 64 bits of which 4 may differ: a pair shares 4 of 8 positional bytes at least, so 3 of any 7.
 EXACT = Settings()
-#: Five words and similarity 0.8: 128 bits, of which sets of that similarity differ in 19.5 on average, so 22 may differ.
-#: So many bits can spoil any byte, so two shared bytes of sixteen aren't guaranteed, but very likely (see README).
-SIMILAR = Settings(words=5, seeds=(42, 43), bits=22, shared=2, key=2, positions=16)
 
 
 def fingerprint(text: str, words: int, seeds: tuple[int, ...] = (42,)) -> np.ndarray:
@@ -188,7 +186,10 @@ def near_duplicates(docs: DataFrame, settings: Settings = EXACT, row: str | None
     return rows.join(nodes, names).select("row_id", "doc_id", digits.alias("fingerprint"), F.col("best.doc_id").alias("component_id"), (F.col("row_id") == F.col("best.row_id")).alias("kept"))
 
 
-def keep_first(docs: DataFrame, settings: Settings = SIMILAR) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates, all columns as they are."""
+def keep_first(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, all columns as they are.
+
+    Near are texts whose sets of five-word shingles have similarity 0.8 or more, which fingerprints can't decide.
+    """
     held = numbered(docs)
-    return without(held, near_duplicates(held, settings, "row").filter(~F.col("kept")).withColumnRenamed("row_id", "row"))
+    return without(held, similar.dropped(held, "row"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinweave.llm import components, exact_dedup, jpeg, language, media, mixing, packing, simhash, token_shards, tokens, toxicity, url_filter
+from kinweave.llm import components, exact_dedup, jpeg, language, media, mixing, packing, similar, simhash, token_shards, tokens, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, row_id long, size long, key string, member boolean"
 
@@ -94,6 +94,15 @@ def test_similar_texts_go(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [3 * i for i in range(20)]
 
 
+def test_large_groups_are_dealt(spark, monkeypatch):
+    """A group of several blocks links across them."""
+    monkeypatch.setattr(similar, "BLOCK", 200)
+    own = [f"w{i}" for i in range(100)]
+    texts = [" ".join([*own[:i], "new", *own[i + 1 :]]) for i in range(0, 100, 5)]
+    kept = simhash.keep_first(frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]))
+    assert [r["doc_id"] for r in kept.collect()] == [0]
+
+
 def test_components(spark):
     rng = random.Random(3)
     chain = [(i + 1, i) for i in range(60)]
