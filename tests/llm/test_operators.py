@@ -94,6 +94,14 @@ def test_similar_texts_go(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [3 * i for i in range(20)]
 
 
+def test_repeated_lines_are_no_copies(spark):
+    """Texts that share one line five times over and nothing else all stay."""
+    rng = random.Random(22)
+    line = " ".join(f"l{i}" for i in range(12))
+    texts = [" ".join([line] * 5 + [f"w{rng.randint(0, 5000)}" for _ in range(20)]) for _ in range(12)]
+    assert simhash.keep_first(frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).count() == 12
+
+
 def test_large_groups_are_dealt(spark, monkeypatch):
     """A group of several blocks links across them."""
     monkeypatch.setattr(similar, "BLOCK", 200)
