@@ -94,6 +94,36 @@ def test_similar_texts_go(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [3 * i for i in range(20)]
 
 
+def test_similar_texts_as_by_brute_force(spark):
+    """Pairs of similarity 0.6 to 0.95, chains, repeated lines, and texts without five words: rows kept as by exact Jaccard groups."""
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randint(0, 5000)}"
+    texts = []
+    for i in range(150):
+        own = [word() for _ in range(200)]
+        texts.append(" ".join(own))
+        for _ in range(2):  # each changed word takes five shingles
+            own = own[:]
+            for at in rng.sample(range(40), 1 + i % 9):
+                own[at * 5] = word()
+            texts.append(" ".join(own))
+    line = " ".join(word() for _ in range(12))
+    texts += [f"{line} {line} {line} {line} {line} " + " ".join(word() for _ in range(40)) for _ in range(10)]
+    texts += ["one two", "One  two", "one", "", None]
+    rng.shuffle(texts)
+    sets = []
+    for t in texts:
+        own = (t or "").lower().split()
+        sets.append({tuple(own[k : k + 5]) for k in range(max(1, len(own) - 4))})
+    label = list(range(len(texts)))
+    near = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for a, b in near:
+        old, new = max(label[a], label[b]), min(label[a], label[b])
+        label = [new if x == old else x for x in label]
+    kept = simhash.keep_first(frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]))
+    assert 150 < len(set(label)) < len(texts) and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label))
+
+
 def test_repeated_lines_are_no_copies(spark):
     """Texts that share one line five times over and nothing else all stay."""
     rng = random.Random(22)
