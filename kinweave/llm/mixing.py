@@ -15,6 +15,8 @@ from kinweave.llm.common import SPACE, checkpoint, feistel, numbered, row_number
 #: Words of a block, documents of a bucket (whose starts are summed in one task), slots of a shard at least, shards at most.
 BLOCK, BUCKET_ROWS, SHARD_SLOTS, MOST_SHARDS = 64, 2048, 4096, 65_536
 WEIGHTS, SHARE, MOST_REPEATS, SEED = (5, 2, 1), 1.5, 2, 42
+#: Blocks up to which a source ends on its target to the word; beyond, within half a block.
+EXACT_BLOCKS = 4096
 
 
 def targets(sizes: dict[str | None, int], weights=WEIGHTS, share=SHARE, most=MOST_REPEATS) -> dict[str | None, float]:
@@ -73,13 +75,32 @@ def starts(base: DataFrame) -> DataFrame:
     return base.join(sums, ["source_no", "bucket"]).withColumn("start", F.col("within") + F.col("bucket_start")).drop("within", "bucket_start", "bucket")
 
 
+def _block_of(k: np.ndarray, blocks: np.ndarray, source_no: np.ndarray) -> np.ndarray:
+    """The block of a source's k-th slot, by the source's pseudorandom permutation of its blocks, a new one for each pass."""
+    return feistel(k % blocks, blocks, SEED + 1_000_003 * source_no + 7 * (k // blocks)).astype(np.int64)
+
+
+def slots_of(source_no: int, size: int, target: float, block: int) -> tuple[int, int]:
+    """Slots that a source of ``size`` words gets, and how many words of its last slot's block are taken."""
+    blocks, want = -(-size // block), round(target)
+    if blocks > EXACT_BLOCKS:
+        return min(MOST_REPEATS * blocks, round(target * blocks / size)), block
+    if not blocks or not want:
+        return 0, 0
+    k = np.arange(MOST_REPEATS * blocks)
+    at = _block_of(k, np.full(len(k), blocks), np.full(len(k), source_no))
+    ends = np.cumsum(np.where(at == blocks - 1, size - (blocks - 1) * block, block))
+    last = int(np.searchsorted(ends, want))
+    return last + 1, want - (int(ends[last - 1]) if last else 0)
+
+
 def _map_slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sends the k-th slot of a source to a block by the source's pseudorandom permutation of its blocks, a new one for each pass."""
+    """Sends the k-th slot of a source to a block."""
     for x in batches:
         k, blocks = x["k"].to_numpy(), x["blocks"].to_numpy()
         x["pass"] = k // blocks
-        x["block"] = feistel(k % blocks, blocks, SEED + 1_000_003 * x["source_no"].to_numpy() + 7 * x["pass"].to_numpy()).astype(np.int64)
-        yield x[["shard", "slot", "source_no", "pass", "block"]]
+        x["block"] = _block_of(k, blocks, x["source_no"].to_numpy())
+        yield x[["shard", "slot", "source_no", "pass", "block", "most"]]
 
 
 def plan(docs: DataFrame, block: int = BLOCK, row: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -101,25 +122,30 @@ def plan(docs: DataFrame, block: int = BLOCK, row: str | None = None) -> tuple[D
     target = targets(sizes)
     names = sorted(sizes, key=lambda x: (x is None, x or ""))
     blocks = np.array([-(-sizes[s] // block) for s in names], np.int64)
-    slots = np.array([min(MOST_REPEATS * b, round(target[s] * b / sizes[s])) if b else 0 for s, b in zip(names, blocks, strict=True)], np.int64)
+    slots, cut = np.array([slots_of(i, sizes[s], target[s], block) for i, s in enumerate(names)], np.int64).reshape(-1, 2).T
     rows = [(i, s, sizes[s], float(target[s]), int(blocks[i])) for i, s in enumerate(names)]
     table = spark.createDataFrame(rows, "source_no long, source string, source_size long, target double, blocks long")
     sources = F.broadcast(table) if len(rows) <= 10_000 else table
     base = base.join(sources, base["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     base = checkpoint(starts(base).drop("blocks"))
     drawn = draw(slots)
-    drawn["blocks"] = blocks[drawn["source_no"]] if len(drawn) else drawn["n"]
-    shards = spark.createDataFrame(drawn, "shard long, source_no long, n long, first long, blocks long")
+    for name, values in (("blocks", blocks), ("slots", slots), ("cut", cut)):
+        drawn[name] = values[drawn["source_no"]] if len(drawn) else drawn["n"]
+    shards = spark.createDataFrame(drawn, "shard long, source_no long, n long, first long, blocks long, slots long, cut long")
     one = shards.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    one = one.select("shard", "source_no", "blocks", (F.col("first") + F.col("i")).alias("k"), F.xxhash64("shard", "source_no", "i").alias("slot"))
-    slot = one.mapInPandas(_map_slots, "shard long, slot long, source_no long, pass long, block long")
+    k = F.col("first") + F.col("i")
+    most = F.when(k == F.col("slots") - 1, F.col("cut")).otherwise(F.lit(block)).cast("long")
+    one = one.select("shard", "source_no", "blocks", k.alias("k"), most.alias("most"), F.xxhash64("shard", "source_no", "i").alias("slot"))
+    slot = one.mapInPandas(_map_slots, "shard long, slot long, source_no long, pass long, block long, most long")
     size = F.lit(block)
     first, last = F.floor(F.col("start") / size), F.floor((F.col("start") + F.col("size") - 1) / size)
     piece = base.filter("size > 0").select("row_id", "source_no", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
     begin = F.greatest(F.lit(0), F.col("block") * size - F.col("start"))
     end = F.least(F.col("size"), (F.col("block") + 1) * size - F.col("start"))
-    piece = piece.select("row_id", "source_no", "block", begin.alias("first"), (end - begin).alias("n_words"))
-    return base, slot.join(piece, ["source_no", "block"])
+    within = F.greatest(F.lit(0), F.col("start") - F.col("block") * size)
+    piece = piece.select("row_id", "source_no", "block", begin.alias("first"), within.alias("within"), (end - begin).alias("n_words"))
+    taken = slot.join(piece, ["source_no", "block"]).withColumn("n_words", F.least("n_words", F.col("most") - F.col("within")))
+    return base, taken.filter("n_words > 0").drop("most", "within")
 
 
 def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -169,6 +169,20 @@ def test_mix(docs, empty, rows):
     assert mixing.mix(empty).count() == 0
 
 
+@pytest.mark.parametrize("wanted, sizes", [((15, 40), [7, 30, 3]), ((60, 40), [40]), ((100, 130), [1] * 130), ((0, 40), [40]), ((259, 130), [130])])
+def test_small_sources_end_on_target(spark, monkeypatch, wanted, sizes):
+    """A source of few words gives its target to the word."""
+    want, size = wanted
+    monkeypatch.setattr(mixing, "targets", lambda _: {"s": float(want), "t": 900.0})
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(n)), "en", "s") for i, n in enumerate(sizes)] + [(500, "t " * 1000, "en", "t")]
+    docs = frame(spark, rows)
+    taken = {r["source"]: r["n"] for r in mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    texts = {"s": 0, "t": 0}
+    for r in mixing.mix_documents(docs).collect():
+        texts[r["source"]] += len(r["text"].split())
+    assert taken == texts == {"s": min(want, 2 * size), "t": 900}
+
+
 def test_mixed_documents(docs, rows):
     whole = mixing.mix(docs, block=8).agg(F.sum("taken")).first()[0]
     out = mixing.mix_documents(docs, block=8)
