@@ -125,7 +125,7 @@ def train(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> Model:
     if not counts:
         return Model({}, order)
     share = docs.sparkSession.createDataFrame([(k, int((1 << 20) * min(1.0, sample / n))) for k, n in counts.items()], "lang string, share long")
-    drawn = rows.join(F.broadcast(share) if len(counts) <= 10_000 else share, "lang").filter((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share")) & (F.char_length("text") <= MOST_CHARS))
+    drawn = rows.join(F.broadcast(share) if len(counts) <= 10_000 else share, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share")).withColumn("text", F.substring("text", 1, MOST_CHARS))
     found: dict[str, list[str]] = {}
     for r in drawn.select("lang", "doc_id", "text").sort("lang", "doc_id", "text").collect():
         found.setdefault(r["lang"], []).append(r["text"])

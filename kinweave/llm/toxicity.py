@@ -91,7 +91,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[bytes, float], float
     pick = lambda seed, n, of: F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, n / max(of, 1)))
     chosen = known.filter((F.col("toxic") == 1) & pick(1, POSITIVES, seen["toxic"])).select("id", F.lit(True).alias("positive"))
     rows = docs.filter(~held_out()).select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text")).join(F.broadcast(chosen), "id", "left")
-    rows = rows.withColumn("unlabelled", pick(2, UNLABELLED, 0.8 * total)).filter((F.col("positive") | F.col("unlabelled")) & (F.char_length("text") <= MOST_CHARS))
+    rows = rows.withColumn("unlabelled", pick(2, UNLABELLED, 0.8 * total)).filter(F.col("positive") | F.col("unlabelled")).withColumn("text", F.substring("text", 1, MOST_CHARS))
     sample = rows.select("id", "text", F.coalesce("positive", F.lit(False)).alias("positive"), "unlabelled").toPandas().sort_values(["id", "text"])
     # documents of the same words count once, else a group of copies would make its own words look telling
     own = {kind: list(dict.fromkeys(frozenset(words(x)) for x in sample["text"][sample[kind]])) for kind in ("positive", "unlabelled")}

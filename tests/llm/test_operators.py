@@ -242,6 +242,12 @@ def test_language(spark, docs, empty):
     assert {r["lang_pred"] for r in language.identify(docs.withColumn("lang", F.lit(None))).collect()} == {"und"} and language.identify(empty).count() == 0
 
 
+def test_languages_of_long_documents_only(spark):
+    table = [(i, ("the cat and the dog " if i % 2 else "le chat et le chien ") * (3 if i % 2 else 1000), "en" if i % 2 else "fr", None) for i in range(20)]
+    found = {r["doc_id"]: r["lang_pred"] for r in language.identify(frame(spark, table)).collect()}
+    assert found == {i: "en" if i % 2 else "fr" for i in range(20)}
+
+
 def test_toxicity(spark, docs, empty):
     rng = random.Random(9)
     table, labels = [], []
@@ -259,6 +265,13 @@ def test_toxicity(spark, docs, empty):
     assert none.count() == docs.count() and none.filter("predicted = 1").count() == 0 and toxicity.score(empty, known).count() == 0
 
 
+def test_toxic_documents_all_long(spark):
+    rng = random.Random(10)
+    table = [(i, " ".join([f"w{rng.randint(0, 50)}" for _ in range(20)] + (["vile"] * 8000 if i % 6 == 0 else [])), "en", "s") for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(300)], "doc_id long, toxic int")
+    assert all(r["predicted"] == int(r["doc_id"] % 6 == 0) for r in toxicity.score(frame(spark, table), labels).collect())
+
+
 def test_media_round_trip(docs, empty, rows):
     found = sorted(media.round_trip(docs).collect(), key=lambda r: (r["doc_id"] or -1, r["n_bytes"]))
     for r, (_, text) in zip(found, sorted(((i or -1, (t or "").encode()) for i, t, *_ in rows), key=lambda x: (x[0], len(x[1]))), strict=True):
