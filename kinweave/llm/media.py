@@ -15,7 +15,7 @@ from kinweave.llm import jpeg
 from kinweave.llm.common import runs, text_of
 
 #: Bytes of payload, or of files, that are coded at once; more only where one alone is larger.
-BATCH = 1 << 20
+BATCH = 1 << 21
 TENSOR = "height int, width int, rgb binary"
 DIGEST = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
@@ -29,39 +29,39 @@ def _store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media: each text's UTF-8 bytes, filled up with zeros to whole 64, as coefficients of a grey progressive JPEG."""
+    """doc_id, n_bytes, media: each text's UTF-8 bytes, filled up with zeros to whole 64, as coefficients of a progressive JPEG with chroma of half resolution."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text_of()).cast("long").alias("n_bytes"), text_of().alias("text"))
     return rows.mapInPandas(_store, "doc_id long, n_bytes long, media binary")
 
 
 def _decoded(files: list[bytes | None]) -> Iterator[tuple[int, jpeg.Image | None, np.ndarray | None]]:
-    """Each file's image and the coefficients; None for null and for what can't be decoded."""
+    """Each file's image and the coefficients; None for null and for what can't be decoded or is damaged."""
     for b, e in runs([len(x or b"") for x in files], BATCH):
-        good = []
+        good, images = [], []
         for i in range(b, e):
             try:
-                jpeg.parse(files[i] or b"")
+                images.append(jpeg.parse(files[i] or b""))
                 good.append(i)
-            except (ValueError, KeyError, IndexError, TypeError, jpeg.struct.error):
+            except ValueError:
                 yield i, None, None
-        images, coefficients = jpeg.decode([files[i] for i in good])
+        images, coefficients = jpeg.decode([files[i] for i in good], images)
         for i, image in zip(good, images, strict=True):
-            yield i, image, coefficients
+            yield (i, image, coefficients) if image.whole else (i, None, None)
 
 
 def decode_media(media: DataFrame, column: str = "media") -> DataFrame:
     """``media`` with height, width and rgb (height x width x 3 bytes) of its progressive JPEG files.
 
-    All scans are accumulated, of whatever number of components up to three and any sampling factors that divide the
-    largest. Null files, and those that are no progressive JPEG of 8 bits, get nulls. Columns called height, width or
-    rgb are replaced.
+    All scans are accumulated, of one or three components and any sampling factors that divide the largest. Null files,
+    those that are no progressive JPEG of 8 bits, and damaged ones (cut off, or with codes that can't be) get nulls, and
+    don't touch the others. Columns called height, width or rgb are replaced; repeated rows are decoded each.
     """
     kept = media.drop("height", "width", "rgb")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for i, image, coefficients in _decoded(rows[column].tolist()):
-                tensor = None if image is None or not image.parts else jpeg.rgb(image, coefficients)
+                tensor = None if image is None else jpeg.rgb(image, coefficients)
                 size = (None, None, None) if tensor is None else (*tensor.shape[:2], tensor.tobytes())
                 one = rows.iloc[i : i + 1].copy()
                 for name, value in zip(("height", "width", "rgb"), size, strict=True):
@@ -74,9 +74,10 @@ def decode_media(media: DataFrame, column: str = "media") -> DataFrame:
 
 def feature(tensor: np.ndarray) -> str:
     """Size, mean of each channel and deviation of the first, of an RGB tensor."""
-    x = tensor.reshape(-1, 3).astype(np.int64)
-    mean = x.sum(axis=0) / len(x)
-    spread = np.sqrt(max(0.0, float((x[:, 0] ** 2).sum()) / len(x) - mean[0] ** 2))
+    n, red = tensor.shape[0] * tensor.shape[1], tensor[:, :, 0]
+    mean = tensor.sum(axis=(0, 1), dtype=np.int64) / n
+    squares = int(np.bincount(red.ravel(), minlength=256) @ np.arange(256) ** 2)
+    spread = np.sqrt(max(0.0, squares / n - mean[0] ** 2))
     return f"{tensor.shape[0]}x{tensor.shape[1]}x3:" + ",".join(f"{m:.3f}" for m in mean) + f":{spread:.3f}"
 
 
@@ -100,7 +101,9 @@ def _read_back(features: Callable[[np.ndarray], str]):
 def round_trip(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and what is read back from each stored file; a row for each document.
 
-    A null text counts as empty; an empty one is stored as 64 zeros. Equal texts give equal values. A long text is one
-    image, coded in a task of its own size. An empty table gives no rows. Nothing is shuffled.
+    A null text counts as empty; an empty one is stored as 64 zeros. Equal texts give equal values, repeated rows a row
+    each. A long text is one image, coded in stretches of restart intervals: a task holds about 20 bytes for each byte
+    of its longest text. The feature is of the RGB tensor, chroma brought to full resolution. An empty table gives no
+    rows. Nothing is shuffled.
     """
     return store(docs).mapInPandas(_read_back(feature), f"doc_id long, n_bytes long, {DIGEST}")

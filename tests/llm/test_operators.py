@@ -284,10 +284,12 @@ def test_media_round_trip(docs, empty, rows):
 
 def test_decode_media(spark):
     file = jpeg.payload_images([bytes(range(64)) * 3])[0]
-    table = spark.createDataFrame([(1, file, "x"), (2, None, "y"), (3, b"no image", "z"), (4, file, "w")], "id int, media binary, rgb string")
-    found = {r["id"]: r for r in media.decode_media(table).collect()}
-    assert (found[1]["height"], found[1]["width"], len(found[1]["rgb"])) == (8, 24, 576) and found[1]["rgb"] == found[4]["rgb"]
-    assert found[2]["rgb"] is None and found[3]["height"] is None
+    no_tables = file.replace(b"\xff\xc4", b"\xff\xe4")
+    table = [(1, file, "x"), (2, None, "y"), (3, b"no image", "z"), (4, file, "w"), (5, no_tables, ""), (6, file[:-30], ""), (7, b"", ""), (1, file, "x")]
+    found = {r["id"]: r for r in media.decode_media(spark.createDataFrame(table, "id int, media binary, rgb string").coalesce(1)).collect()}
+    images, coefficients = jpeg.decode([file])
+    assert (found[1]["height"], found[1]["width"]) == (16, 16) and found[1]["rgb"] == found[4]["rgb"] == jpeg.rgb(images[0], coefficients).tobytes()
+    assert all(found[i]["rgb"] is None and found[i]["height"] is None for i in (2, 3, 5, 6, 7))
 
 
 def test_token_shards(spark, docs, empty, rows, tmp_path):

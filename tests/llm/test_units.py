@@ -119,6 +119,150 @@ def test_jpeg_of_three_components(interval):
     assert np.abs(jpeg.planes(images[0], found)[0][:8, :8] - np.clip(basis @ block.reshape(8, 8) @ basis.T + 128, 0, 255)).max() <= 0.51
 
 
+def test_colours_by_pixel():
+    """Each pixel's colour from the samples that lie under it, by the conversion's definition."""
+    rng = np.random.default_rng(2)
+    parts = [jpeg.Component(h, v, np.full(64, 3)) for h, v in ((2, 2), (1, 2), (2, 1))]
+    n = jpeg.lay_out(21, 35, parts)
+    coefficients = np.where(rng.random((n, 64)) < 0.1, rng.integers(-90, 90, (n, 64)), 0).astype(np.int16)
+    image = jpeg.Image(21, 35, parts)
+    planes = jpeg.planes(image, coefficients)
+    tensor = jpeg.rgb(image, coefficients)
+    for y in range(21):
+        for x in range(35):
+            luma, cb, cr = (float(p[y * c.v // 2, x * c.h // 2]) for p, c in zip(planes, parts, strict=True))
+            want = (luma + 1.402 * (cr - 128), luma - 0.344136 * (cb - 128) - 0.714136 * (cr - 128), luma + 1.772 * (cb - 128))
+            assert all(abs(int(a) - min(255, max(0, b))) <= 0.51 for a, b in zip(tensor[y, x], want, strict=True))
+
+
+class Scan:
+    """Codes one value after the other, with runs of ended blocks, each symbol as its own eight bits."""
+
+    def __init__(self):
+        self.bits, self.ended, self.waiting = "", 0, ""
+
+    def symbol(self, symbol, extra="", width=8):
+        self.bits += f"{symbol:0{width}b}" + extra
+
+    def flush(self):
+        if self.ended:
+            n = self.ended.bit_length() - 1
+            self.symbol(n << 4, f"{self.ended - (1 << n):0{n}b}" if n else "")
+            self.bits, self.ended, self.waiting = self.bits + self.waiting, 0, ""
+
+    def first(self, block, low):
+        run = 0
+        for c in block:
+            v = abs(c) >> low
+            if not v:
+                run += 1
+                continue
+            self.flush()
+            while run > 15:
+                self.symbol(0xF0)
+                run -= 16
+            s = v.bit_length()
+            self.symbol(run << 4 | s, f"{v if c > 0 else v ^ ((1 << s) - 1):0{s}b}")
+            run = 0
+        self.ended += run > 0
+
+    def refine(self, block, low):
+        sizes = [abs(c) >> low for c in block]
+        last = max((k for k, v in enumerate(sizes) if v == 1), default=-1)
+        run, passed = 0, ""
+        for k, v in enumerate(sizes):
+            if not v:
+                run += 1
+                continue
+            while run > 15 and k <= last:
+                self.flush()
+                self.symbol(0xF0)
+                self.bits, passed, run = self.bits + passed, "", run - 16
+            if v > 1:
+                passed += str(v & 1)
+                continue
+            self.flush()
+            self.symbol(run << 4 | 1, "1" if block[k] > 0 else "0")
+            self.bits, passed, run = self.bits + passed, "", 0
+        if run or passed:
+            self.ended, self.waiting = self.ended + 1, self.waiting + passed
+
+    def done(self):
+        self.flush()
+        bits = self.bits + "1" * (-len(self.bits) % 8)
+        return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+
+
+def foreign_file(blocks, interval):
+    """A grey file of one row of blocks by a plain coder whose codes are flat: every symbol but 255 is its own code."""
+    segment = lambda marker, body: bytes([255, marker]) + (len(body) + 2).to_bytes(2, "big") + body
+    out = b"\xff\xd8" + segment(0xDB, bytes([0]) + bytes([2]) * 64) + segment(0xC2, bytes([8, 0, 8]) + (8 * len(blocks)).to_bytes(2, "big") + bytes([1, 1, 0x11, 0]))
+    flat = bytes([0] * 7 + [255] + [0] * 8) + bytes(range(255))
+    out += segment(0xC4, bytes([0x00]) + flat) + segment(0xC4, bytes([0x10]) + flat) + segment(0xDD, interval.to_bytes(2, "big"))
+    step = interval or len(blocks)
+    for first, last, high, low in ((0, 0, 0, 0), (1, 40, 0, 2), (41, 63, 0, 1), (1, 40, 2, 1), (1, 63, 1, 0)):
+        lanes = []
+        for b in range(0, len(blocks), step):
+            scan, before = Scan(), 0
+            for block in blocks[b : b + step]:
+                if first == 0:
+                    d, before = block[0] - before, block[0]
+                    s = abs(d).bit_length()
+                    scan.symbol(s, f"{d if d > 0 else d + (1 << s) - 1:0{s}b}" if s else "")
+                else:
+                    (scan.refine if high else scan.first)(block[first : last + 1], low)
+            lanes.append(scan.done())
+        body = b"".join(x + (bytes([255, 0xD0 + k % 8]) if k < len(lanes) - 1 else b"") for k, x in enumerate(lanes))
+        out += segment(0xDA, bytes([1, 1, 0, first, last, 16 * high + low])) + body
+    return out + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("interval", [0, 1, 7])
+def test_runs_of_ended_blocks(interval):
+    rng = np.random.default_rng(interval)
+    for share in (0.0, 0.01, 0.1, 0.7):
+        blocks = np.where(rng.random((40, 64)) < share, rng.integers(-9, 10, (40, 64)), 0)
+        blocks[:, 0] = rng.integers(-100, 100, 40)
+        images, found = jpeg.decode([foreign_file(blocks.tolist(), interval)])
+        assert images[0].whole and (found == blocks).all()
+
+
+def test_damaged_files_are_marked():
+    """Cut off, without tables, or with bytes changed: an error or a mark, never another file's loss."""
+    good = jpeg.payload_images([bytes(range(64)) * 30])[0]
+    other = jpeg.payload_images([bytes(range(7, 71)) * 20])[0]
+    bad = [good[:-2], good[: len(good) // 2], good[:30], good.replace(b"\xff\xc4", b"\xff\xe4"), good[:-40] + good[-2:]]
+    rng = random.Random(1)
+    for _ in range(40):
+        at = rng.randrange(2, len(good))
+        bad.append(good[:at] + bytes([rng.randrange(256)]) + good[at + 1 :])
+    marked = 0
+    for x in bad:
+        try:
+            images = [jpeg.parse(x), jpeg.parse(other)]
+        except ValueError:
+            marked += 1
+            continue
+        images, found = jpeg.decode([x, other], images)
+        assert images[1].whole and jpeg.payload_of(images[1], found) == bytes(range(7, 71)) * 20
+        marked += not images[0].whole
+    assert marked >= 15 and all(not jpeg.decode([x])[0][0].whole for x in (good[:-2], good[: len(good) // 2], good[:-40] + good[-2:]))
+
+
+def test_long_payloads_in_stretches(monkeypatch):
+    rng = random.Random(6)
+    data = [payload("any", 300, rng), payload("rare", 200, rng), payload("near", 1, rng)]
+    files = jpeg.payload_images(data)
+    monkeypatch.setattr(jpeg, "STRETCH", 32)
+    monkeypatch.setattr(jpeg, "STRETCH_BYTES", 500)
+    assert jpeg.payload_images(data) == files
+    images, found = jpeg.decode(files)
+    assert [jpeg.payload_of(i, found) for i in images] == data and all(i.whole for i in images)
+    tensor = jpeg.rgb(images[0], found)
+    monkeypatch.undo()
+    assert (jpeg.rgb(images[0], found) == tensor).all()
+
+
 def test_not_a_jpeg():
     for bad in (b"", b"text", b"\xff\xd8\xff\xc0\x00\x0b\x08\x00\x01\x00\x01\x01\x01\x11\x00"):
         with pytest.raises(ValueError):
