@@ -296,23 +296,47 @@ def test_token_shards(spark, docs, empty, rows, tmp_path):
     encode = token_shards.load(token_shards.default_path()).encode_ordinary
     shards = token_shards.write_shards(docs, f"file://{tmp_path}/shards", length=16, records=100)
     found = token_shards.read_shards(spark, shards).collect()
-    assert sorted(r["slot"] for r in found) == list(range(shards.sequences))
-    assert all(r["shard"] == r["slot"] // 100 and r["offset"] == r["slot"] % 100 * shards.stride for r in found)
-    got = {}
+    assert sorted(r["slot"] for r in found) == list(range(shards.sequences)) and len({r["shard"] for r in found}) > 20
+    got, lists = {}, {}
     for r in found:
-        assert r["ids_crc32"] == zlib.crc32(r["ids"])
+        assert r["ids_crc32"] == zlib.crc32(r["ids"]) and 2 * r["length"] == len(r["ids"])
         got.setdefault(r["doc_id"], []).append((r["start"], np.frombuffer(r["ids"], "<u2").tolist()))
+        lists.setdefault(r["shard"], []).append((r["slot"], r["offset"]))
     texts = {}
     for i, t, *_ in rows:
         texts.setdefault(i, []).append(t or "")
     for i, own in texts.items():
         assert sum((x for _, x in sorted(got[i])[:: len(own)]), []) == [*encode(own[0]), 50256]
-    one = (tmp_path / "shards/shard-000000001.bin").read_bytes()
-    assert len(one) == 100 * shards.stride
+    ends = 0
+    for shard, own in sorted(lists.items()):  # slots of a file are gapless, and go on where the last file ended
+        assert sorted(own) == [(ends + k, k * shards.stride) for k in range(len(own))]
+        assert len((tmp_path / f"shards/shard-{shard:09d}.bin").read_bytes()) == len(own) * shards.stride
+        ends += len(own)
     none = token_shards.write_shards(empty, f"file://{tmp_path}/none")
     assert none.sequences == 0 and token_shards.read_shards(spark, none).count() == 0
 
 
+def test_token_shards_in_order(spark, docs, tmp_path):
+    """The order is the permutation's: neighbours of a document part, and the same key gives the same files; reading goes on from a slot."""
+    folders = [f"file://{tmp_path}/{k}" for k in range(3)]
+    table = f"file://{tmp_path}/table"
+    docs.select("doc_id", "text").write.parquet(table)
+    shards = [token_shards.write_shards(spark.read.parquet(table), f, length=16, records=500, key=k) for f, k in zip(folders, (42, 42, 43), strict=True)]
+    files = [sorted((x.name, x.read_bytes()) for x in (tmp_path / str(k)).glob("shard-*.bin")) for k in range(3)]
+    assert files[0] == files[1] != files[2]
+    whole = {r["slot"]: r for r in token_shards.read_shards(spark, shards[0]).collect()}
+    places = [s for s, r in sorted(whole.items()) if r["doc_id"] == 105]
+    assert len(places) > 1000 and np.mean(np.diff(places) == 1) < 0.9 and places[0] < 100 and places[-1] > shards[0].sequences - 100
+    again = token_shards.Shards.open(spark, folders[0])
+    assert again == shards[0]
+    for start in (0, 1, 700, shards[0].sequences - 1, shards[0].sequences):
+        rest = token_shards.read_shards(spark, again, start).collect()
+        assert {r["slot"]: r for r in rest} == {s: r for s, r in whole.items() if s >= start}
+    (tmp_path / "0" / files[0][0][0]).write_bytes(files[0][0][1][:-1])
+    with pytest.raises(Exception, match="records"):
+        token_shards.read_shards(spark, again).count()
+
+
 def brute_rule(url):
     host = path = ""
     if url and "://" in url:
