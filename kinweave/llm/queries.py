@@ -81,39 +81,43 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 
+#: Levels of the tree that the SQL spells out; mixed verdicts must end by then, the operator itself has no such limit.
+SQL_LEVELS = 8
+
+
 def url_sql(rules=url_filter.RULES, settings: url_filter.Settings = url_filter.Settings()) -> str:
-    """The template tree in SQL: three tables a level, then the smoothed shares."""
+    """The template tree in SQL: four tables a level, then the smoothed shares."""
     fits = []
     for what, rule in sorted(rules, key=lambda r: -len(r[1])):
         own, _, start = rule.partition("/")
         fits.append((f"(host = '{own}' OR ends_with(host, '.{own}')) AND starts_with(path, '/{start}')", rule, what))
     case = lambda k: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[k]}'" for f in fits) + " END"
-    d, levels = settings.depth, []
-    for i in range(1, d + 1):
+    levels = []
+    for i in range(1, SQL_LEVELS + 1):
         levels.append(f"""
-child{i} AS (SELECT host, template, parts[{i}] AS segment, sum(labelled)::DOUBLE AS labelled, sum(blocked)::DOUBLE AS blocked FROM at{i - 1} WHERE len(parts) >= {i} GROUP BY ALL),
-node{i} AS (SELECT host, template, count(*) AS children, sum(labelled) AS al, (sum(blocked) + 0.5::DOUBLE) / (sum(labelled) + 1) AS pooled FROM child{i} GROUP BY ALL),
-kept{i} AS (SELECT c.host, c.template, c.segment FROM child{i} c JOIN node{i} n USING (host, template)
-  WHERE c.segment <> '*' AND n.children <= {settings.most_children} AND (n.children = 1 OR (c.labelled > 0
-    AND abs((c.blocked + 0.5::DOUBLE) / (c.labelled + 1) - pooled) > {settings.z} * sqrt(pooled * (1 - pooled) / greatest(c.labelled, 1))))),
-at{i} AS (SELECT a.* REPLACE (CASE WHEN len(a.parts) < {i} THEN a.template ELSE a.template || '/' || coalesce(k.segment, '*') END AS template)
-  FROM at{i - 1} a LEFT JOIN kept{i} k ON k.host = a.host AND k.template = a.template AND k.segment = a.parts[{i}])""")
+node{i} AS MATERIALIZED (SELECT host, template, sum(labelled) AS al, sum(blocked) AS ab, (sum(blocked) + 0.5::DOUBLE) / (sum(labelled) + 1) AS pooled FROM at{i - 1} GROUP BY ALL),
+open{i} AS MATERIALIZED (SELECT a.*, a.parts[{i}] AS segment, n.pooled, n.ab > 0 AND n.ab < n.al AS mixed FROM at{i - 1} a JOIN node{i} n USING (host, template)),
+kept{i} AS MATERIALIZED (SELECT host, template, segment FROM open{i} WHERE mixed AND segment <> '*' GROUP BY host, template, segment, pooled
+  HAVING sum(labelled) > 0 AND abs((sum(blocked) + 0.5::DOUBLE) / (sum(labelled) + 1) - pooled) > {settings.z} * sqrt(pooled * (1 - pooled) / greatest(sum(labelled), 1))),
+at{i} AS MATERIALIZED (SELECT o.host, o.parts, o.template || '/' || coalesce(k.segment, '*') AS template, o.labelled, o.blocked
+  FROM open{i} o LEFT JOIN kept{i} k ON k.host = o.host AND k.template = o.template AND k.segment = o.segment WHERE o.mixed AND o.segment IS NOT NULL)""")
+    leaves = " UNION ALL ".join(f"SELECT host, parts, CASE WHEN mixed THEN template ELSE template || '/**' END AS template, labelled, blocked FROM open{i} WHERE NOT mixed OR segment IS NULL" for i in range(1, SQL_LEVELS + 1))
     return rf"""
 WITH split AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}'), '') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
 ), ruled AS (
   SELECT *, {case(1)} AS rule, {case(2)} AS by_rule, string_split(regexp_replace(path, '^/', ''), '/') AS p FROM split
-), shaped AS (
-  SELECT * EXCLUDE (p), list_transform(CASE WHEN len(p) > {d} THEN list_append(p[1:{d - 1}], array_to_string(p[{d}:], '/')) ELSE p END,
-    lambda s: CASE WHEN regexp_matches(s, '[0-9]|^[0-9A-Fa-f-]{{16,}}$') THEN '*' ELSE s END) AS parts FROM ruled
-), at0 AS (
+), shaped AS MATERIALIZED (
+  SELECT * EXCLUDE (p), list_transform(p, lambda s: CASE WHEN regexp_matches(s, '[0-9]|^[0-9A-Fa-f-]{{16,}}$') THEN '*' ELSE s END) AS parts FROM ruled
+), at0 AS MATERIALIZED (
   SELECT host, parts, '' AS template, count(by_rule)::DOUBLE AS labelled, (count(*) FILTER (by_rule = 'block'))::DOUBLE AS blocked FROM shaped GROUP BY host, parts
 ),{",".join(levels)},
-total AS (SELECT (coalesce(sum(blocked), 0) + 1.0::DOUBLE) / (coalesce(sum(labelled), 0) + 2.0::DOUBLE) AS share FROM at{d}),
-hosts AS (SELECT host, (sum(blocked) + {settings.strength} * any_value(share)) / (sum(labelled) + {settings.strength}) AS host_share FROM at{d}, total GROUP BY host),
+tree AS MATERIALIZED ({leaves}),
+total AS (SELECT (coalesce(sum(blocked), 0) + 1.0::DOUBLE) / (coalesce(sum(labelled), 0) + 2.0::DOUBLE) AS share FROM tree),
+hosts AS (SELECT host, (sum(blocked) + {settings.strength} * any_value(share)) / (sum(labelled) + {settings.strength}) AS host_share FROM tree, total GROUP BY host),
 pure AS (SELECT a.host, a.template, (sum(a.blocked) + {settings.strength} * least(any_value(h.host_share), any_value(t.share))) / (sum(a.labelled) + {settings.strength}) AS purity
-  FROM at{d} a JOIN hosts h USING (host), total t GROUP BY a.host, a.template)
+  FROM tree a JOIN hosts h USING (host), total t GROUP BY a.host, a.template)
 SELECT s.page_id, s.host, s.path, s.rule, coalesce(s.by_rule, CASE WHEN pure.purity >= {settings.reject} THEN 'block' ELSE 'allow' END) AS verdict
-FROM shaped s JOIN at{d} a USING (host, parts) JOIN pure ON pure.host = a.host AND pure.template = a.template
+FROM shaped s JOIN tree a USING (host, parts) JOIN pure ON pure.host = a.host AND pure.template = a.template
 """
