@@ -19,13 +19,16 @@ MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the one named in spark.checkpoint.dir.
 
-    Where that is unset (local tests) a temporary folder is set; there driver and executors are one machine.
+    Where that is unset, a temporary folder is set in local mode, where driver and executors are one machine; on a cluster
+    it's an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="kinweave-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(named)
@@ -80,6 +83,22 @@ def without(held: DataFrame, dropped: DataFrame) -> DataFrame:
     return held.select("row", "doc").join(dropped, "row", "left_anti").select("doc.*")
 
 
+def rekeyed(df: DataFrame, key: str) -> DataFrame:
+    """``df``, an aggregate by an integer key, so that a join deals it by the key anew. Only then does Spark see two dealt
+    tables, of which it splits a hot key's rows over several tasks."""
+    return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
+
+
+def hash63(*columns: Column | str) -> Column:
+    """A hash from 0 to 2^63 - 1."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 1)
+
+
+def bound63(want: int, of: int) -> int:
+    """What half as many again as ``want`` of ``of`` rows have a ``hash63`` below, on average; above 0 whatever ``of`` is."""
+    return min((1 << 63) - 1, max(1, (3 * want << 62) // max(of, 1)))
+
+
 def row_number(row: str | None) -> Column:
     return F.col(row) if row else F.monotonically_increasing_id()
 

@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import checkpoint
+from kinweave.llm.common import checkpoint, rekeyed
 
 
-#: Links that are contracted at once.
-CHUNK = 500_000
+#: Links that are contracted at once at least, and that a partition holds at most.
+CHUNK, MOST_HELD = 500_000, 2_000_000
 
 
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -35,12 +35,22 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Replaces a partition's links by links to the smallest node that they connect to; fewer than it has nodes."""
+    """Replaces a partition's links by links to the smallest node that they connect to; fewer than it has nodes.
+
+    What is held is contracted whenever it has doubled, so time is linear but for sorting, and given away at ``MOST_HELD``.
+    """
     held: list[tuple[np.ndarray, np.ndarray]] = []
+    n, limit = 0, CHUNK
     for rows in batches:
         held.append((rows["a"].to_numpy(), rows["b"].to_numpy()))
-        if sum(len(a) for a, _ in held) > CHUNK:
+        n += len(rows)
+        if n > limit:
             held = [stars(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+            n = len(held[0][0])
+            if n > MOST_HELD:
+                yield pd.DataFrame(dict(zip("ab", held[0], strict=True)))
+                held, n = [], 0
+            limit = max(CHUNK, 2 * n)
     if held:
         a, b = stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
         yield pd.DataFrame({"a": a, "b": b})
@@ -49,12 +59,12 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-    return both.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("low").alias("b"))
+    return both.filter("v > u").join(rekeyed(low, "u"), "u").select(F.col("v").alias("a"), F.col("low").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     low = links.groupBy("a").agg(F.min("b").alias("low"))
-    rest = links.join(low, "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    rest = links.join(rekeyed(low, "a"), "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
     return rest.unionByName(low.select("a", F.col("low").alias("b"))).distinct()
 
 

@@ -173,6 +173,7 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None, row: str | No
 
 
 def keep_first(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """``docs`` without the rows that ``exact_dedup`` doesn't keep, all columns as they are."""
+    """``docs`` without the rows that ``exact_dedup`` doesn't keep, all columns as they are. Null, empty and blank texts are
+    one group; of rows alike in all one stays, whatever their number; an empty table stays empty."""
     held = numbered(docs)
     return without(held, exact_dedup(held, history, "row").filter(~F.col("kept")).withColumnRenamed("row_id", "row"))

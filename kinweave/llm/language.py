@@ -8,10 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from kinweave.llm.common import held_out, runs, text_of
+from kinweave.llm.common import bound63, hash63, held_out, runs, text_of
 
-#: Bytes of the longest context; documents a language is learned from (expected number) and code points of each at most.
+#: Bytes of the longest context; documents that a language is learned from and code points of each at most.
 ORDER, SAMPLE, MOST_CHARS = 4, 400, 16_384
 #: Bytes scored at once, and what stands before a text.
 CHUNK, BEFORE = 1 << 19, b"\n"
@@ -119,15 +120,21 @@ class Model:
 
 
 def train(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> Model:
-    """Learns from a sample of each language, drawn by hashes of the ids outside the held-out fold; only the sample comes to the driver."""
+    """Learns from a sample of each language outside the held-out fold: the ``sample`` documents of smallest hashes of id and text.
+
+    Of these at most ``MOST_CHARS`` code points each come to the driver, and a count for each language, of which there
+    must be no more than a driver can hold models of. Rows alike in id and text count once.
+    """
     rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return Model({}, order)
-    share = docs.sparkSession.createDataFrame([(k, int((1 << 20) * min(1.0, sample / n))) for k, n in counts.items()], "lang string, share long")
-    drawn = rows.join(F.broadcast(share) if len(counts) <= 10_000 else share, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share")).withColumn("text", F.substring("text", 1, MOST_CHARS))
+    bounds = docs.sparkSession.createDataFrame([(k, bound63(sample, n)) for k, n in counts.items()], "lang string, bound long")
+    drawn = rows.join(F.broadcast(bounds) if len(counts) <= 10_000 else bounds, "lang").withColumn("hash", hash63("doc_id", "text")).filter("hash < bound")
+    drawn = drawn.groupBy("lang", "hash").agg(F.min(F.substring("text", 1, MOST_CHARS)).alias("text"))
+    drawn = drawn.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).filter(F.col("nth") <= sample)
     found: dict[str, list[str]] = {}
-    for r in drawn.select("lang", "doc_id", "text").sort("lang", "doc_id", "text").collect():
+    for r in drawn.select("lang", "nth", "text").sort("lang", "nth").collect():
         found.setdefault(r["lang"], []).append(r["text"])
     return Model(found, order)
 
@@ -155,7 +162,8 @@ def identify(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> DataF
 
     lang_pred is the language whose context tree codes the whole text in fewest bits (ties: the first by code point),
     score its probability if all languages were equally likely. Null texts and texts without a letter are `und` with
-    score 0, as are all if nothing can be learned from. A null id counts as held out; an empty table gives no rows.
+    score 0, as are all if nothing can be learned from. A null id counts as held out; repeated rows are judged alike; an
+    empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, order, sample))
     text = text_of()

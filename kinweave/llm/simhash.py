@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm import similar
-from kinweave.llm.common import checkpoint, numbered, row_number, text_of, without
+from kinweave.llm.common import BROADCAST_ROWS, checkpoint, numbered, rekeyed, row_number, text_of, without
 from kinweave.llm.components import components, stars
 
-#: Members of a posting list that are compared at once; longer ones are walked from link to link.
-SHORT = 64
+#: Members of a posting list that are compared at once; longer ones are walked from link to link, and much longer ones dealt over blocks.
+SHORT, BLOCK = 64, 16_384
 
 
 @dataclass(frozen=True)
@@ -147,7 +147,8 @@ def links(nodes: DataFrame, settings: Settings = EXACT) -> DataFrame:
 
     The inverted index has a posting list for every value of every ``key`` of the first ``positions`` byte positions,
     rather than of single ones: a pair that shares the guaranteed bytes is in such a list together, and lists of one
-    position would hold a 256th of all fingerprints. A pair's shared bytes are tallied over all positions.
+    position would hold a 256th of all fingerprints. A pair's shared bytes are tallied over all positions. A list of more
+    than ``BLOCK`` members is dealt over blocks, and each pair of blocks is a list of its own.
     """
     byte = lambda i: F.shiftright(F.col(f"fp{i // 8}"), 8 * (i % 8)).bitwiseAND(255)
 
@@ -160,6 +161,15 @@ def links(nodes: DataFrame, settings: Settings = EXACT) -> DataFrame:
     names = [f"fp{k}" for k in range(len(settings.seeds))]
     keys = F.array(*[key(k, at) for k, at in enumerate(settings.keys())])
     postings = nodes.select("node", *names, F.explode(keys).alias("key"))
+    hot = postings.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks")).filter("blocks > 1")
+    hot = checkpoint(hot)
+    if n := hot.count():
+        dealt = postings.join(F.broadcast(hot) if n <= BROADCAST_ROWS else hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: x != F.col("block"))
+        dealt = dealt.withColumn("other", F.explode(F.when(F.col("blocks") > 1, others).otherwise(F.array("block"))))
+        pair = F.least("block", "other") * 65_536 + F.greatest("block", "other")
+        postings = dealt.withColumn("key", F.shiftleft("key", 32) + pair).select("node", *names, "key")
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     listed = postings.repartition(parts, "key").sortWithinPartitions("key", "node").select("key", "node", *names)
     return listed.mapInPandas(_linker(settings), "a long, b long").distinct()
@@ -181,7 +191,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = EXACT, row: str | None
     label = components(links(nodes.select("node", *names), settings))
     nodes = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = nodes.groupBy("component").agg(F.min("first").alias("best"))
-    nodes = nodes.join(best, "component").select(*names, "best")
+    nodes = nodes.join(rekeyed(best, "component"), "component").select(*names, "best")
     digits = F.concat(*[F.lower(F.lpad(F.hex(x), 16, "0")) for x in names])
     return rows.join(nodes, names).select("row_id", "doc_id", digits.alias("fingerprint"), F.col("best.doc_id").alias("component_id"), (F.col("row_id") == F.col("best.row_id")).alias("kept"))
 
@@ -189,7 +199,10 @@ def near_duplicates(docs: DataFrame, settings: Settings = EXACT, row: str | None
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near duplicates, all columns as they are.
 
-    Near are texts whose sets of five-word shingles have similarity 0.8 or more, which fingerprints can't decide.
+    Near are texts whose sets of five-word shingles have similarity 0.8 or more, which fingerprints can't decide: such a
+    pair differs in some 15 % of the bits, more than one in each byte, so no number of shared bytes is guaranteed. Of a
+    group the smallest id stays, null ids last; of rows that are alike in all, one. Null and empty texts are alike; an
+    empty table stays empty.
     """
     held = numbered(docs)
     return without(held, similar.dropped(held, "row"))

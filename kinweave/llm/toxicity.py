@@ -8,10 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from kinweave.llm.common import held_out, text_of
+from kinweave.llm.common import bound63, hash63, held_out, text_of
 
-#: Bounds of what is fitted on: confirmed and unlabelled documents (expected numbers), code points of each, words of the model.
+#: Bounds of what is fitted on: confirmed and unlabelled documents, code points of each, words of the model.
 POSITIVES, UNLABELLED, MOST_CHARS, VOCABULARY = 2000, 4000, 32_768, 512
 #: Rounds of the optimiser, its step, the weight of the squared coefficients, and how far below 0 the corrected risk may fall.
 ROUNDS, STEP, RIDGE, BETA = 1000, 0.03, 2e-5, 0.0
@@ -47,11 +48,23 @@ def _matrix(docs: list[set[bytes]], at: dict[bytes, int]) -> np.ndarray:
     return out
 
 
+def risk(theta: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """prior * R+(positive), and R-(unlabelled) - prior * R-(positive), of the logistic loss; and the gradient of each."""
+    w = theta[:-1].astype(np.float32)
+    sp, su = (1 / (1 + np.exp(-np.clip(x @ w + theta[-1], -30, 30))) for x in (xp, xu))
+    # losses of label 1 and 0 are -log(s) and -log(1-s); their slopes in the score are s-1 and s
+    positive = -prior * np.log(sp + 1e-12).mean()
+    negative = -np.log(1 - su + 1e-12).mean() + prior * np.log(1 - sp + 1e-12).mean()
+    up, gp, gu = prior * (sp - 1) / len(sp), -prior * sp / len(sp), su / len(su)
+    back = lambda g, x: np.append(x.T @ g.astype(np.float32), g.sum())
+    return positive, negative, back(up, xp), back(gp, xp) + back(gu, xu)
+
+
 def fit(positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float) -> tuple[dict[bytes, float], float]:
     """Weights of words and a bias, from confirmed toxic and unlabelled documents.
 
-    Minimises prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)) of the logistic loss with Adam; while
-    the second part is below -BETA, its gradient is followed upwards instead, which is what keeps it non-negative.
+    Minimises prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)) with Adam; while the second part is
+    below -BETA, its gradient is followed upwards instead, which is what keeps it non-negative.
     """
     if not positive or not unlabelled or not 0 < prior < 1:
         return {}, float(np.log((prior + 1e-6) / (1 - prior + 1e-6)))
@@ -61,18 +74,9 @@ def fit(positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float)
     theta = np.zeros(len(at) + 1)
     theta[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, ROUNDS + 1):
-        w = theta[:-1].astype(np.float32)
-        sp, su = sigmoid(xp @ w + theta[-1]), sigmoid(xu @ w + theta[-1])
-        # losses of label 1 and 0 are -log(s) and -log(1-s); their slopes in z are s-1 and s
-        negative = -np.log(1 - su + 1e-12).mean() + prior * np.log(1 - sp + 1e-12).mean()
-        up = prior * (sp - 1) / len(sp)
-        gp, gu = -prior * sp / len(sp), su / len(su)
-        if negative < -BETA:
-            gp, gu, up = -gp, -gu, np.zeros_like(up)
-        gp = gp + up
-        grad = np.append(xp.T @ gp.astype(np.float32) + xu.T @ gu.astype(np.float32), gp.sum() + gu.sum())
+        _, negative, up, down = risk(theta, xp, xu, prior)
+        grad = -down if negative < -BETA else up + down
         grad[:-1] += RIDGE * theta[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= STEP * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -80,21 +84,23 @@ def fit(positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[bytes, float], float]:
-    """Fits on a bounded sample, drawn by hashes of the ids, of documents outside the held-out fold.
+    """Fits on a bounded sample of documents outside the held-out fold, those of smallest hashes.
 
-    The class prior is the share of toxic among all labels outside that fold. The unlabelled sample is of documents
-    whatever their label.
+    The class prior is the share of toxic among all labelled ids outside that fold; an id with contradicting labels is
+    toxic, null labels and null ids don't count. The unlabelled sample is of documents whatever their label. Documents
+    of the same words count once, else a group of copies would make its own words look telling.
     """
     known = labels.filter(~held_out()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).filter("id is not null and toxic is not null")
     seen = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
-    total = docs.count()
-    pick = lambda seed, n, of: F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, n / max(of, 1)))
-    chosen = known.filter((F.col("toxic") == 1) & pick(1, POSITIVES, seen["toxic"])).select("id", F.lit(True).alias("positive"))
+    chosen = known.filter("toxic = 1").orderBy(hash63(F.lit(1), "id"), "id").limit(POSITIVES).select("id", F.lit(True).alias("positive"))
     rows = docs.filter(~held_out()).select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text")).join(F.broadcast(chosen), "id", "left")
-    rows = rows.withColumn("unlabelled", pick(2, UNLABELLED, 0.8 * total)).filter(F.col("positive") | F.col("unlabelled")).withColumn("text", F.substring("text", 1, MOST_CHARS))
-    sample = rows.select("id", "text", F.coalesce("positive", F.lit(False)).alias("positive"), "unlabelled").toPandas().sort_values(["id", "text"])
-    # documents of the same words count once, else a group of copies would make its own words look telling
-    own = {kind: list(dict.fromkeys(frozenset(words(x)) for x in sample["text"][sample[kind]])) for kind in ("positive", "unlabelled")}
+    drawn = F.col("hash") < bound63(UNLABELLED, docs.count() * 4 // 5)
+    kinds = F.array_compact(F.array(F.when(F.col("positive"), "positive"), F.when(drawn, "unlabelled")))
+    rows = rows.withColumn("hash", hash63(F.lit(2), "id", "text")).filter(F.col("positive") | drawn)
+    rows = rows.select("hash", F.explode(kinds).alias("kind"), F.substring("text", 1, MOST_CHARS).alias("text"))
+    rows = rows.groupBy("kind", "hash").agg(F.min("text").alias("text")).withColumn("nth", F.row_number().over(Window.partitionBy("kind").orderBy("hash")))
+    sample = rows.filter(F.col("nth") <= F.when(F.col("kind") == "positive", POSITIVES).otherwise(UNLABELLED)).toPandas().sort_values(["kind", "nth"])
+    own = {kind: list(dict.fromkeys(frozenset(words(x)) for x in sample["text"][sample["kind"] == kind])) for kind in ("positive", "unlabelled")}
     return fit(own["positive"], own["unlabelled"], (seen["toxic"] or 0) / max(seen["n"], 1))
 
 
@@ -122,7 +128,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those predicted to be toxic, all columns kept."""
+    """``docs`` without those predicted to be toxic, all columns kept; null and empty texts are judged by the bias alone,
+    repeated rows alike, and an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     @F.pandas_udf("double")

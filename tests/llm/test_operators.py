@@ -85,6 +85,16 @@ def test_near_duplicates(docs, empty, rows):
     assert sum(r["kept"] for r in found) == len(best) and simhash.near_duplicates(empty).count() == 0
 
 
+def test_long_posting_lists_are_dealt(spark, monkeypatch):
+    """Lists of several blocks lose no link, and give none that isn't there."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("ab") for _ in range(rng.randint(3, 5))) for _ in range(150)]
+    docs = frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    want = sorted(simhash.near_duplicates(docs).select("doc_id", "component_id").collect())
+    monkeypatch.setattr(simhash, "BLOCK", 4)
+    assert sorted(simhash.near_duplicates(docs).select("doc_id", "component_id").collect()) == want
+
+
 def test_similar_texts_go(spark):
     rng = random.Random(8)
     rows = []
@@ -170,6 +180,34 @@ def test_mix(docs, empty, rows):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mix_by_brute_force(docs, rows):
+    """Every word taken, from the draws, the permutations and the words' order alone: blocks of a source are its words cut up."""
+    block = 8
+    base, _ = mixing.plan(docs, block)
+    order = {r["row_id"]: r for r in base.collect()}
+    names = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
+    words = {s: [] for s in names}
+    for r in sorted(order.values(), key=lambda r: r["start"]):
+        words[r["source"]] += [r["row_id"]] * r["size"]
+    assert all(words[r["source"]][r["start"] : r["start"] + r["size"]] == [r["row_id"]] * r["size"] for r in order.values())
+    target = mixing.targets({s: len(words[s]) for s in names})
+    slots = np.array([mixing.slots_of(i, len(words[s]), target[s], block) for i, s in enumerate(names)])
+    drawn = mixing.draw(slots[:, 0])
+    want = dict.fromkeys(order, 0)
+    for i, s in enumerate(names):
+        own = drawn[drawn["source_no"] == i]
+        turns = [k for first, n in zip(own["first"], own["n"], strict=True) for k in range(first, first + n)]
+        assert sorted(turns) == list(range(slots[i, 0]))
+        blocks = -(-len(words[s]) // block)
+        for k in turns:
+            at = int(mixing.feistel(np.array([k % blocks]), np.array([blocks]), np.array([mixing.SEED + 1_000_003 * i + 7 * (k // blocks)]))[0])
+            for w in words[s][at * block : at * block + (slots[i, 1] if k == slots[i, 0] - 1 else block)]:
+                want[w] += 1
+    found = {r["row_id"]: r["taken"] for r in mixing.mix(docs, block).collect()}
+    key = lambda taken: sorted((order[i]["doc_id"] or -1, order[i]["size"], n) for i, n in taken.items())
+    assert key(found) == key(want) and sum(want.values()) > 0
+
+
 @pytest.mark.parametrize("wanted, sizes", [((15, 40), [7, 30, 3]), ((60, 40), [40]), ((100, 130), [1] * 130), ((0, 40), [40]), ((259, 130), [130])])
 def test_small_sources_end_on_target(spark, monkeypatch, wanted, sizes):
     """A source of few words gives its target to the word."""
@@ -240,6 +278,11 @@ def test_language(spark, docs, empty):
     assert all(found[i]["lang_pred"] == "und" and found[i]["score"] == 0 for i in (50, 51, 52))
     assert found[53]["lang_pred"] == found[None]["lang_pred"] == "en" and found[None]["held_out"]
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in found.items() if i is not None)
+    twice = language.identify(frame(spark, table + table)).collect()
+    assert len(twice) == 2 * len(table) and len({(r["doc_id"], r["lang_pred"], r["score"]) for r in twice}) == len(table)
+    learned = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5][:40]
+    tied = language.identify(frame(spark, [(i, "same text", lang, None) for i, lang in zip(learned, ("fr", "en") * 20, strict=True)])).collect()
+    assert {(r["lang_pred"], r["score"]) for r in tied} == {("en", 0.5)}
     assert {r["lang_pred"] for r in language.identify(docs.withColumn("lang", F.lit(None))).collect()} == {"und"} and language.identify(empty).count() == 0
 
 
@@ -249,6 +292,30 @@ def test_languages_of_long_documents_only(spark):
     assert found == {i: "en" if i % 2 else "fr" for i in range(20)}
 
 
+def test_samples_are_bounded(spark, monkeypatch):
+    """A repeated id draws its rows no more than others do, and no sample is larger than stated."""
+    monkeypatch.setattr(toxicity, "POSITIVES", 30)
+    monkeypatch.setattr(toxicity, "UNLABELLED", 50)
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda positive, unlabelled, prior: seen.update(p=len(positive), u=len(unlabelled), prior=prior) or ({}, 0.0))
+    rows = [(1, f"w{i} x y", "en", "s") for i in range(400)] + [(i, f"w{i} y z", "en", "s") for i in range(400)]
+    toxicity.train(frame(spark, rows), spark.createDataFrame([(i, i % 2) for i in range(400)] + [(1, 0)], "doc_id long, toxic int"))
+    assert seen["p"] == 30 and seen["u"] == 50 and 0.4 < seen["prior"] < 0.6
+    sizes = []
+    monkeypatch.setattr(language, "Model", lambda found, order: sizes.append({k: len(v) for k, v in found.items()}))
+    language.train(frame(spark, [(1, f"w{i}", "en", "s") for i in range(900)] + [(i, f"w{i}", "fr", "s") for i in range(900)] + [(1, "t", "de", "s")] * 50), sample=20)
+    assert sizes == [{"en": 20, "fr": 20, "de": 1}]
+
+
+def test_toxicity_of_contradicting_labels_and_repeats(spark):
+    """An id with labels 0 and 1 is toxic; rows that are alike score alike."""
+    rng = random.Random(14)
+    table = [(i, " ".join([f"w{rng.randint(0, 50)}" for _ in range(20)] + (["vile"] if i % 6 == 0 else [])), "en", "s") for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(300)] + [(i, 0) for i in range(300)], "doc_id long, toxic int")
+    found = toxicity.score(frame(spark, table + table), labels).collect()
+    assert len(found) == 600 and all(r["predicted"] == int(r["doc_id"] % 6 == 0) for r in found) and len({(r["doc_id"], r["score"]) for r in found}) == 300
+
+
 def test_toxicity(spark, docs, empty):
     rng = random.Random(9)
     table, labels = [], []

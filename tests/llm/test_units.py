@@ -400,6 +400,45 @@ def test_risk_stays_corrected():
     assert toxicity.fit([], unlabelled, 0.1)[0] == {} and toxicity.fit(positive, unlabelled, 0.0)[0] == {}
 
 
+def test_risk_by_its_definition():
+    """Both parts of the risk from single losses, and their gradients from finite differences."""
+    rng = np.random.default_rng(3)
+    xp, xu = (rng.integers(0, 2, (n, 5)).astype(np.float64) for n in (13, 29))
+    theta, prior = rng.normal(size=6).astype(np.float32).astype(np.float64), 0.17
+    loss = lambda x, sign: np.mean([np.log1p(np.exp(-sign * (row @ theta[:-1] + theta[-1]))) for row in x])
+    positive, negative, up, down = toxicity.risk(theta, xp, xu, prior)
+    assert np.isclose(positive, prior * loss(xp, 1)) and np.isclose(negative, loss(xu, -1) - prior * loss(xp, -1))
+    for k in range(6):
+        step = np.zeros(6)
+        step[k] = 2.0**-10
+        high, low = (toxicity.risk(theta + s * step, xp, xu, prior)[:2] for s in (1, -1))
+        assert np.allclose([(h - x) / 2.0**-9 for h, x in zip(high, low, strict=True)], [up[k], down[k]], atol=1e-4)
+
+
+def test_bounds_of_samples():
+    """About half as many again as wanted are below the bound, at any number of rows."""
+    for want, of in ((400, 10**9), (400, 10**13), (4000, 10**18), (2000, 3001)):
+        assert np.isclose(common.bound63(want, of) / 2**63, min(1, 1.5 * want / of), rtol=1e-9) and common.bound63(want, of) > 0
+    assert common.bound63(400, 5) == common.bound63(400, 0) == 2**63 - 1
+
+
+def test_contraction_is_linear_and_bounded(monkeypatch):
+    """Links that don't contract: as many come out, in pieces, and each is looked at a few times only."""
+    import pandas as pd
+
+    from kinweave.llm import components
+
+    monkeypatch.setattr(components, "CHUNK", 1000)
+    monkeypatch.setattr(components, "MOST_HELD", 30_000)
+    worked, plain = [], components.stars
+    monkeypatch.setattr(components, "stars", lambda a, b: worked.append(len(a)) or plain(a, b))
+    n = 100_000
+    node = np.arange(n) * 2
+    batches = [pd.DataFrame({"a": node[i : i + 500] + 1, "b": node[i : i + 500]}) for i in range(0, n, 500)]
+    out = list(components._contract(iter(batches)))
+    assert sum(map(len, out)) == n and max(map(len, out)) < 80_000 and len(out) > 1 and sum(worked) < 5 * n
+
+
 def test_held_out_fold_is_crc32(spark):
     rows = spark.createDataFrame([(i,) for i in (None, 0, 7, 123456789012)], "doc_id long").select("doc_id", common.held_out().alias("h")).collect()
     assert [r["h"] for r in rows] == [zlib.crc32(str(r["doc_id"] if r["doc_id"] is not None else "").encode()) % 5 == 0 for r in rows]
