@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
-from struct import pack as pack_ids
 
 import numpy as np
 import pandas as pd
@@ -14,82 +12,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kinweave.llm.common import checkpoint, runs, text_of, written
-from kinweave.llm.tokens import default_path, load
+from kinweave.llm.tokens import default_path, word_encoder
 
 CAPACITY, END_ID, BUCKET_ROWS = 4096, 2, 2048
-#: Words held by a worker, bytes of a word that is held, bytes of a batch of words to encode.
-HELD, HELD_BYTES, BATCH = 600_000, 48, 262_144
-#: Stops that end a word after a letter.
-STOPS = re.compile(rb"(?<=[a-z])[.,;:!?]+(?=[ \t-\r]|\Z)")
-#: Words of small ASCII letters and Latin-1 letters in UTF-8, which are one pre-token and normalised but for capitals.
-LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: Code points of texts that are encoded at once.
+BATCH = 524_288
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def _byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte in a byte-level vocabulary: itself if it prints, else the next one from U+0100."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
-
-
-BYTE_LETTERS = _byte_letters()
-#: Small letters of the second bytes of capital Latin-1 letters.
-LOWER = bytes(b + 32 if 0x80 <= b <= 0x9E and b != 0x97 else b for b in range(256))
-
-
-class WordEncoder:
-    """Encodes texts word by word with the tokenizer's library, and keeps the ids of the words it has met.
-
-    Words are cut at ASCII white space, where a cut changes no token (see ``tokens.encode_pieces``), and between an
-    ASCII letter and the stops that end a word, as the pre-tokenizer's letters end there too. ASCII letters are
-    lower-cased, as the normaliser does, unless special strings may be about. A word of Latin-1 letters alone is one
-    pre-token, so the model is asked directly, with bytes spelled as its vocabulary spells them.
-    """
-
-    def __init__(self, tokenizer):
-        self.tokenizer, self.held = tokenizer, {}
-
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of words that aren't held; what is short is held from now on."""
-        tokenize, out, rest = self.tokenizer.model.tokenize, {}, []
-        for w in words:
-            if LETTERS.fullmatch(w):
-                ids = [t.id for t in tokenize(w.translate(LOWER).decode("latin-1").translate(BYTE_LETTERS))]
-                out[w] = pack_ids(f"<{len(ids)}I", *ids)
-            else:
-                rest.append(w)
-        for b, e in runs([len(w) for w in rest], BATCH):
-            for w, x in zip(rest[b:e], self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest[b:e]], add_special_tokens=False), strict=True):
-                out[w] = pack_ids(f"<{len(x.ids)}I", *x.ids)
-        self.held.update((w, ids) for w, ids in out.items() if len(w) <= HELD_BYTES)
-        return out
-
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        if len(self.held) > HELD:
-            self.held = {}
-        data = [x.encode("utf-8", "surrogatepass") for x in texts]
-        split = [x.split() if b"<|" in x else STOPS.sub(rb" \g<0>", x.lower()).split() for x in data]
-        found = [list(map(self.held.get, words)) for words in split]
-        lacks = [i for i, own in enumerate(found) if None in own]
-        new = self._learn({w for i in lacks for w, ids in zip(split[i], found[i], strict=True) if ids is None})
-        for i in lacks:
-            found[i] = [new[w] if ids is None else ids for w, ids in zip(split[i], found[i], strict=True)]
-        yield from map(b"".join, found)
-
-
 def _cutter(path: str, capacity: int, end_id: int, with_ids: bool):
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = WordEncoder(load(path))
+        encoder = word_encoder(path)
         for rows in batches:
             texts, ids = rows["text"].tolist(), rows["doc_id"].tolist()
-            for b, e in runs([len(x) for x in texts], 2 * BATCH):
+            for b, e in runs([len(x) for x in texts], BATCH):
                 out = []
-                for doc_id, found in zip(ids[b:e], encoder.ids(texts[b:e]), strict=True):
-                    found += end
+                for doc_id, text in zip(ids[b:e], texts[b:e], strict=True):
+                    found = encoder.ids(text) + end
                     for at in range(0, len(found), 4 * capacity):
                         piece = found[at : at + 4 * capacity]
                         out.append((doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(found) // 4, piece)[: 6 if with_ids else 5])

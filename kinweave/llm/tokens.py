@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,13 +12,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import runs, text_of
+from kinweave.llm.common import text_of
 
-#: Characters of a chunk and of the first overlap; texts of up to two chunks are encoded whole. Characters of a batch.
-CHUNK, OVERLAP, BATCH = 32_768, 512, 262_144
+#: Characters of a chunk and of the first overlap; texts of up to two chunks are encoded word by word.
+CHUNK, OVERLAP = 8192, 256
+#: Words of each of the two generations that a worker holds, and bytes of a word that is held.
+HELD, HELD_BYTES = 300_000, 48
+#: A word that ends in stops after an ASCII or Latin-1 letter.
+STOPPED = re.compile(rb"(.*(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,;:!?]+)", re.DOTALL)
+#: Words of small ASCII letters and Latin-1 letters in UTF-8, which are one pre-token and normalised but for capitals.
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 #: White space of ASCII, at which a cut is proven.
 BLANKS = frozenset(" \t\n\x0b\x0c\r")
 _loaded: dict = {}
+_encoders: dict[str, WordEncoder] = {}
 
 
 def load(path: str):
@@ -69,19 +78,67 @@ def count_one(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP)
     return sum(len(x) for x in encode_pieces(tokenizer, text, chunk, overlap))
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it prints, else the next one from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
+BYTE_LETTERS = _byte_letters()
+#: Small letters of the second bytes of capital Latin-1 letters.
+LOWER = bytes(b + 32 if 0x80 <= b <= 0x9E and b != 0x97 else b for b in range(256))
+
+
+class WordEncoder(dict):
+    """Encodes texts word by word with the tokenizer's library, and keeps the ids of the words it has met lately.
+
+    Words are cut at ASCII white space, where a cut changes no token (see ``encode_pieces``), and between a letter and
+    the stops that end a word, as the pre-tokenizer's letters end there too. ASCII letters are lower-cased, as the
+    normaliser does, unless special strings may be about. A word of Latin-1 letters alone is one pre-token, so the model
+    is asked directly, with bytes spelled as its vocabulary spells them.
+    """
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.tokenize, self.older = tokenizer, tokenizer.model.tokenize, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        if ids := self.older.get(word):
+            pass
+        elif word.isalpha() and word.islower():
+            ids = array("I", [t.id for t in self.tokenize(word.decode())]).tobytes()
+        elif stopped := STOPPED.fullmatch(word):
+            ids = self[stopped[1]] + self[stopped[2]]
+        elif LETTERS.fullmatch(word):
+            ids = array("I", [t.id for t in self.tokenize(word.translate(LOWER).decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
+        else:
+            ids = array("I", self.tokenizer.encode_batch_fast([word.decode("utf-8", "replace")], add_special_tokens=False)[0].ids).tobytes()
+        if len(word) <= HELD_BYTES:
+            self[word] = ids
+        return ids
+
+    def ids(self, text: str) -> bytes:
+        """A text's ids as little-endian unsigned 32-bit integers."""
+        if len(self) > HELD:
+            self.older = dict(self)
+            self.clear()
+        data = text.encode("utf-8", "surrogatepass")
+        return b"".join(map(self.__getitem__, (data if b"<|" in data else data.lower()).split()))
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of a file, once for each worker, so that later tasks know the words of earlier ones."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(load(path))
+    return _encoders[path]
+
+
 def _counter(path: str):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = load(path)
+        tokenizer, encoder = load(path), word_encoder(path)
         for rows in batches:
-            texts = rows.pop("text").tolist()
-            out = np.zeros(len(texts), np.int64)
-            small = [i for i, x in enumerate(texts) if len(x) <= 2 * CHUNK]
-            for b, e in runs([len(texts[i]) for i in small], BATCH):
-                encoded = tokenizer.encode_batch_fast([texts[i] for i in small[b:e]], add_special_tokens=False)
-                out[small[b:e]] = [len(x) for x in encoded]
-            for i in {*range(len(texts))} - {*small}:
-                out[i] = count_one(tokenizer, texts[i])
-            yield rows.assign(n_tokens=out)
+            yield rows.assign(n_tokens=[count_one(tokenizer, x) if len(x) > 2 * CHUNK else len(encoder.ids(x)) // 4 for x in rows.pop("text")])
 
     return count
 
@@ -89,8 +146,9 @@ def _counter(path: str):
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit; a row for each document, as many tokens as encoding the whole text gives.
 
-    A null or empty text has 0 bytes and tokens; repeated rows are counted each; a null id stays null; an empty table
-    gives no rows. Nothing is shuffled.
+    Texts of more than two chunks go through in chunks with overlaps (``encode_pieces``), others word by word. A null or
+    empty text has 0 bytes and tokens; repeated rows are counted each; a null id stays null; an empty table gives no
+    rows. Nothing is shuffled.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text_of()).cast("long").alias("n_bytes"), text_of().alias("text"))
     counted = rows.mapInPandas(_counter(path or default_path()), "doc_id long, n_bytes long, n_tokens long")

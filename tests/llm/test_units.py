@@ -285,14 +285,23 @@ def test_tokens_in_chunks(tokenizer, text):
     whole = tokenizer.encode(text, add_special_tokens=False).ids
     for chunk, overlap in ((64, 8), (100, 1), (7, 3)):
         assert [int(i) for x in tokens.encode_pieces(tokenizer, text, chunk, overlap) for i in x] == whole
-    assert np.frombuffer(next(packing.WordEncoder(tokenizer).ids([text])), "<u4").tolist() == whole
+    assert np.frombuffer(tokens.WordEncoder(tokenizer).ids(text), "<u4").tolist() == whole
+
+
+def test_word_encoder_forgets_the_oldest(tokenizer, monkeypatch):
+    monkeypatch.setattr(tokens, "HELD", 20)
+    encoder = tokens.WordEncoder(tokenizer)
+    for i in range(200):
+        text = f"the word{i} and, then{i}."
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(encoder) <= 30 and b"the" in encoder and b"word3" not in encoder and b"word3" not in encoder.older
 
 
 def test_word_encoder_on_random_texts(tokenizer):
-    rng, encoder = random.Random(7), packing.WordEncoder(tokenizer)
-    for letters in ("aAéÉ.!,'<|>endoftext \t\n1½Ⅻ̸́ßſK", "abÀÖßØÿþÞñÑ÷×µ. ,"):
+    rng, encoder = random.Random(7), tokens.WordEncoder(tokenizer)
+    for letters in ("aAéÉ.!,'<|>endoftext \t\n1½Ⅻ̸́ßſK", "abÀÖßØÿþÞñÑ÷×µ. ,", "aB.!?,;: "):
         texts = ["".join(rng.choice(letters) for _ in range(30)) for _ in range(200)]
-        found = [np.frombuffer(x, "<u4").tolist() for x in encoder.ids(texts)]
+        found = [np.frombuffer(encoder.ids(x), "<u4").tolist() for x in texts]
         assert found == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
 
 
