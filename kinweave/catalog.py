@@ -78,7 +78,7 @@ def coverage_budget(spark, sf_dir):
 def coverage_all_roots(spark, sf_dir):
     """The walk from every person at once: people reached, leaf weight and gap weight of each."""
     parents = pedigree.checkpoint(_parents(derived.people(spark, sf_dir)))
-    walked = pedigree.build(parents, parents.select(F.col("id").alias("root_id")), GENERATIONS, "pooled")
+    walked = pedigree.build(parents, parents.select(F.col("id").alias("root_id")), GENERATIONS)
     own = walked.nodes.groupBy("root_id").agg(F.count("*").alias("persons"), F.sum("leaf_weight").alias("leaf_weight"))
     lost = walked.gaps.groupBy("root_id").agg(F.sum("contribution_weight").alias("gap_weight"))
     return own.join(lost, "root_id", "left").select("root_id", "persons", "leaf_weight", F.coalesce("gap_weight", F.lit(0.0)).alias("gap_weight"))
@@ -181,8 +181,8 @@ def gedcom_families(spark, sf_dir):
 
 
 def gedcom_parents(spark, sf_dir):
-    """Parents as the scanned files tell them, against those the files were made from; a parent in another file is unknown."""
-    people, families = gedcom.scan(derived.files(derived.people(spark, sf_dir), trees=1))
+    """Parents as the scanned records of one tree tell them, against those that the records were made from."""
+    people, families = gedcom.scan(derived.records(derived.people(spark, sf_dir), trees=1))
     return pedigree.parents(people, families).select("id", "father", "mother")
 
 

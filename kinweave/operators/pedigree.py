@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import tempfile
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Generations up to which all paths are walked at once by recursion; beyond, generation by generation.
-RECURSION_CAP = 12
+#: Visits that there can be, up to which all paths are walked at once by recursion (Spark ends one at a million rows);
+#: beyond, generation by generation.
+RECURSION_VISITS = 500_000
 
 
 @dataclass(frozen=True)
@@ -30,7 +32,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Writes to the folder that spark.checkpoint.dir names, which all machines share, and cuts the lineage."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="kinweave-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="kinweave-"))
     return df.checkpoint()
 
 
@@ -50,17 +55,18 @@ def edges(parents_: DataFrame) -> DataFrame:
 
 
 def _recursive(spark: SparkSession, roots: DataFrame, links: DataFrame, cap: int) -> DataFrame:
-    roots.createOrReplaceTempView("kinweave_roots")
-    links.createOrReplaceTempView("kinweave_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE visit (root_id, id, depth, weight, path, path_key) MAX RECURSION LEVEL {cap + 2} AS (
-            SELECT root_id, root_id, 0, CAST(1 AS DOUBLE), array(root_id), '' FROM kinweave_roots
+    return spark.sql(
+        """
+        WITH RECURSIVE visit (root_id, id, depth, weight, path, path_key) MAX RECURSION LEVEL {levels} AS (
+            SELECT root_id, root_id, 0, CAST(1 AS DOUBLE), array(root_id), '' FROM {roots}
             UNION ALL
             SELECT v.root_id, e.parent_id, v.depth + 1, v.weight / 2, array_append(v.path, e.parent_id), concat(v.path_key, e.slot)
-            FROM visit v JOIN kinweave_edges e ON v.id = e.child_id
+            FROM visit v JOIN {links} e ON v.id = e.child_id
             WHERE v.depth < {cap} AND NOT array_contains(v.path, e.parent_id)
         )
-        SELECT root_id, id, depth, weight, 1L AS visits, path, path_key FROM visit""")
+        SELECT root_id, id, depth, weight, 1L AS visits, path, path_key FROM visit""",
+        roots=roots, links=links, cap=cap, levels=cap + 2,
+    )
 
 
 def _frontier(roots: DataFrame, links: DataFrame, cap: int, pooled: bool) -> DataFrame:
@@ -100,8 +106,9 @@ def walk(parents_: DataFrame, roots: DataFrame, cap: int = 8, mode: str = "auto"
     """root_id, id, depth, weight, visits, path, path_key of visits from ``roots`` (root_id).
 
     Modes: recursive (all paths at once), paths (one generation after the other), pooled (the same with paths merged;
-    right only without cycles, as the guard needs each path). auto takes recursion for few generations, else pools if
-    there is no cycle. A root that is no person of the tree raises ValueError.
+    right only without cycles, as the guard needs each path). auto takes recursion if there can't be many visits, by the
+    number of roots and generations, else pools if there is no cycle. A root that is no person of the tree raises
+    ValueError.
     """
     if cap < 0:
         raise ValueError("the number of generations is below 0")
@@ -109,7 +116,8 @@ def walk(parents_: DataFrame, roots: DataFrame, cap: int = 8, mode: str = "auto"
     if not lost.isEmpty():
         raise ValueError(f"root {lost.first()['root_id']} is not in the tree")
     if mode == "auto":
-        mode = "recursive" if cap <= RECURSION_CAP else "paths" if has_cycle(parents_) else "pooled"
+        few = cap < 64 and roots.count() << (cap + 1) <= RECURSION_VISITS
+        mode = "recursive" if few else "paths" if has_cycle(parents_) else "pooled"
     if mode == "recursive":
         return _recursive(parents_.sparkSession, roots, edges(parents_), cap)
     return _frontier(roots, edges(parents_), cap, mode == "pooled")
@@ -138,26 +146,65 @@ def build(parents_: DataFrame, roots: DataFrame, cap: int = 8, mode: str = "auto
     return Pedigree(nodes, gaps, links)
 
 
-def closure(parents_: DataFrame) -> DataFrame:
-    """id, ancestor_id of all ancestors at any depth: each round extends what the last one found, and keeps what is new."""
-    up = edges(parents_).select(F.col("child_id").alias("id"), F.col("parent_id").alias("ancestor_id")).distinct()
-    found = fresh = checkpoint(up)
+def closure(parents_: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """id, ancestor_id of all ancestors at any depth, of the people in ``of`` (id) or of all.
+
+    Each round extends what the last one found and keeps what is new; rounds are written once and stay apart.
+    """
+    up = checkpoint(edges(parents_).select(F.col("child_id").alias("id"), F.col("parent_id").alias("ancestor_id")).distinct())
     step = up.select(F.col("id").alias("via"), F.col("ancestor_id").alias("next"))
-    while not fresh.isEmpty():
-        more = fresh.join(step, F.col("ancestor_id") == F.col("via")).select("id", F.col("next").alias("ancestor_id")).distinct()
-        fresh = checkpoint(more.join(found, ["id", "ancestor_id"], "left_anti"))
-        found = checkpoint(found.unionByName(fresh))
-    return found
+    rounds = [up if of is None else checkpoint(up.join(of.select("id"), "id", "left_semi"))]
+    while not rounds[-1].isEmpty():
+        more = rounds[-1].join(step, F.col("ancestor_id") == F.col("via")).select("id", F.col("next").alias("ancestor_id")).distinct()
+        rounds.append(checkpoint(more.join(reduce(DataFrame.unionByName, rounds), ["id", "ancestor_id"], "left_anti")))
+    return reduce(DataFrame.unionByName, rounds)
+
+
+def ancestor_counts(parents_: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """id, seq, ancestors (distinct, at any depth), of the people in ``of`` (id) or of all."""
+    counts = closure(parents_, of).groupBy("id").agg(F.count("*").alias("ancestors"))
+    people = parents_.select("id", "seq") if of is None else parents_.select("id", "seq").join(of.select("id"), "id", "left_semi")
+    return people.join(counts, "id", "left").select("id", "seq", F.coalesce("ancestors", F.lit(0)).cast("long").alias("ancestors"))
 
 
-def ancestor_counts(parents_: DataFrame) -> DataFrame:
-    """id, seq, ancestors (distinct, at any depth)."""
-    counts = closure(parents_).groupBy("id").agg(F.count("*").alias("ancestors"))
-    return parents_.select("id", "seq").join(counts, "id", "left").select("id", "seq", F.coalesce("ancestors", F.lit(0)).cast("long").alias("ancestors"))
+def most_ancestors(parents_: DataFrame) -> DataFrame:
+    """id, seq, most: no fewer than the ancestors of each person who is nobody's parent, for trees without cycles.
 
+    It is the number of paths upwards, generation by generation: a row for each person and generation.
+    """
+    links = checkpoint(edges(parents_).select("child_id", "parent_id"))
+    at = links.groupBy(F.col("child_id").alias("id")).agg(F.count("*").cast("double").alias("paths"))
+    rounds = []
+    while True:
+        at = checkpoint(at)
+        if at.isEmpty():
+            break
+        rounds.append(at)
+        at = links.join(at, F.col("parent_id") == F.col("id")).groupBy(F.col("child_id").alias("id")).agg(F.sum("paths").alias("paths"))
+    young = parents_.select("id", "seq").join(links.select(F.col("parent_id").alias("id")), "id", "left_anti")
+    if not rounds:
+        return young.withColumn("most", F.lit(0.0))
+    sums = reduce(DataFrame.unionByName, rounds).groupBy("id").agg(F.sum("paths").alias("most"))
+    return young.join(sums, "id", "left").withColumn("most", F.coalesce("most", F.lit(0.0)))
 
-def pick_root(parents_: DataFrame) -> DataFrame:
-    """One row: the person with most ancestors, the first of the file on ties. An empty tree raises ValueError."""
+
+def pick_root(parents_: DataFrame, candidates: int = 64) -> DataFrame:
+    """One row: the person with most ancestors, the first of the file on ties. An empty tree raises ValueError.
+
+    Without cycles only somebody who is nobody's parent can win. Those of the largest bounds are counted exactly, more
+    and more of them, until no bound of another one reaches the best count. With cycles all are counted.
+    """
     if parents_.isEmpty():
         raise ValueError("no individuals in the tree")
-    return ancestor_counts(parents_).orderBy(F.col("ancestors").desc(), "seq").limit(1).select(F.col("id").alias("root_id"), "ancestors")
+    best = lambda counts: counts.orderBy(F.col("ancestors").desc(), "seq").limit(1).select(F.col("id").alias("root_id"), "ancestors", "seq")
+    if has_cycle(parents_):
+        return best(ancestor_counts(parents_)).drop("seq")
+    bounds = checkpoint(most_ancestors(parents_))
+    while True:
+        top = checkpoint(bounds.orderBy(F.col("most").desc(), "seq").limit(candidates))
+        found = checkpoint(best(ancestor_counts(parents_, top)))
+        won = found.first()
+        open_ = bounds.filter((F.col("most") > won["ancestors"]) | ((F.col("most") == won["ancestors"]) & (F.col("seq") < won["seq"])))
+        if open_.join(top, "id", "left_anti").isEmpty():
+            return found.drop("seq")
+        candidates *= 8

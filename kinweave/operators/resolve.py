@@ -1,6 +1,7 @@
 """Places: from a text, a year and maybe a point to today's country, the polity of the time, and why.
 
-Everything works on distinct keys (place, year, lat, lng) at once; reference tables are broadcast.
+Everything works on distinct keys (place, year, lat, lng) at once. Reference tables are joined on equal columns (names,
+cells of the map), so Spark broadcasts them if their size allows and deals both sides otherwise.
 """
 
 from __future__ import annotations
@@ -50,24 +51,42 @@ def ancient_contradiction(place: Column | str, lat: Column | str, lng: Column |
 def geocode(keys: DataFrame, index: DataFrame) -> DataFrame:
     """``keys`` with hit (token, ord, lat, lng, country_code, modern_country): the first part of the place that is a known name."""
     parts = keys.select(*KEY, F.posexplode_outer(F.transform(tokens("place"), _norm_place)).alias("pos", "token"))
-    found = parts.join(F.broadcast(index), "token", "left")
+    found = parts.join(index, "token", "left")
     hit = F.min_by(F.when(F.col("entry").isNotNull(), F.struct("token", "entry")), F.when(F.col("entry").isNotNull(), F.col("pos")))
     return found.groupBy(*KEY).agg(hit.alias("hit"))
 
 
 def snapshot_year(years: DataFrame, polities: DataFrame, year: str = "year") -> DataFrame:
-    """The snapshot that holds in a year: the latest one up to it, else the earliest."""
+    """The snapshot that holds in a year: the latest one up to it, else the earliest. There is a span for each year with a
+    snapshot at most, a few thousand rows, so they are broadcast."""
     spans = polities.select("snapshot_year", "begin", "end").distinct()
     holds = (F.col("begin").isNull() | (F.col(year) >= F.col("begin"))) & (F.col("end").isNull() | (F.col(year) < F.col("end")))
     return years.join(F.broadcast(spans), holds, "left").drop("begin", "end")
 
 
+#: Degrees of a cell of the map.
+CELL = 10
+
+
+def _cells(table: DataFrame) -> DataFrame:
+    """``table`` (with boxes w, s, e, n) for each cell that a box touches."""
+    across = lambda low, high: F.sequence(F.floor(F.col(low) / CELL), F.floor(F.col(high) / CELL))
+    return table.withColumn("cell_x", F.explode(across("w", "e"))).withColumn("cell_y", F.explode(across("s", "n")))
+
+
+def _in_box(points: DataFrame, table: DataFrame, lat: str, lng: str, also: Column | None = None) -> DataFrame:
+    """``points`` with the rows of ``table`` whose box has the point, edges included, and with nulls where there is none."""
+    at = points.withColumns({"point_x": F.floor(F.col(lng) / CELL), "point_y": F.floor(F.col(lat) / CELL)})
+    inside = F.col(lng).between(F.col("w"), F.col("e")) & F.col(lat).between(F.col("s"), F.col("n"))
+    same = (F.col("point_x") == F.col("cell_x")) & (F.col("point_y") == F.col("cell_y")) & inside
+    return at.join(_cells(table), same if also is None else same & also, "left").drop("point_x", "point_y", "cell_x", "cell_y")
+
+
 def polity_at(keys: DataFrame, polities: DataFrame, lat: str, lng: str) -> DataFrame:
     """``keys`` with polity: the first of the snapshot that holds whose box has the point, edges included."""
     holds = (F.col("begin").isNull() | (F.col("year") >= F.col("begin"))) & (F.col("end").isNull() | (F.col("year") < F.col("end")))
-    inside = F.col(lng).between(F.col("w"), F.col("e")) & F.col(lat).between(F.col("s"), F.col("n"))
     hit = F.struct("ord", "snapshot_year", "name", "subjecto", "part_of", "border_precision")
-    found = keys.join(F.broadcast(polities), holds & inside, "left").groupBy(*keys.columns)
+    found = _in_box(keys, polities, lat, lng, holds).groupBy(*keys.columns)
     return found.agg(F.min_by(F.when(F.col("name").isNotNull(), hit), "ord").alias("polity"))
 
 
@@ -95,33 +114,35 @@ def in_rings(lng: Column, lat: Column, polygons: Column) -> Column:
     return F.exists(polygons, inside)
 
 
-def country_at(points: DataFrame, borders: DataFrame, lat: str = "lat", lng: str = "lng") -> DataFrame:
-    """``points`` with point_country: the first country that has the point; its box is looked at before its rings."""
-    box = F.col(lng).between(F.col("w"), F.col("e")) & F.col(lat).between(F.col("s"), F.col("n"))
-    table = borders.select("ord", "name", "rings", "w", "s", "e", "n")
-    near = points.join(F.broadcast(table), box, "left")
-    hit = F.when(box, in_rings(F.col(lng), F.col(lat), F.col("rings")))
-    return near.groupBy(*points.columns).agg(F.min_by(F.when(hit, F.col("name")), F.when(hit, F.col("ord"))).alias("point_country"))
+def _at_points(points: DataFrame, borders: DataFrame, lat: str, lng: str) -> DataFrame:
+    """``points`` with at (name, key) of the first country that has the point; its box is looked at before its rings."""
+    near = _in_box(points, borders.select("ord", "name", "key", "rings", "w", "s", "e", "n"), lat, lng)
+    hit = F.coalesce(in_rings(F.col(lng), F.col(lat), F.col("rings")), F.lit(False))
+    return near.groupBy(*points.columns).agg(F.min_by(F.when(hit, F.struct("name", "key")), F.when(hit, F.col("ord"))).alias("at"))
 
 
-def border_key(name: Column | str, borders: DataFrame) -> Column:
-    """Comparison key of a country's name, null if it is none of today's. The borders' names are a small table, read here."""
-    known = [r["key"] for r in borders.select("key").distinct().collect()]
-    key = norm_border(name)
-    return F.coalesce(F.try_element_at(_map(reference.MODERN), key), F.when(key.isin(*known), key) if known else F.lit(None).cast("string"))
+def country_at(points: DataFrame, borders: DataFrame, lat: str = "lat", lng: str = "lng") -> DataFrame:
+    """``points`` with point_country: the first country that has the point."""
+    return _at_points(points, borders, lat, lng).select(*points.columns, F.col("at.name").alias("point_country"))
 
 
 def contradicts(keys: DataFrame, borders: DataFrame, country: str) -> DataFrame:
-    """``keys`` with point_country (null if the named country is unknown), string_known, contradicts."""
-    named = keys.withColumn("named_key", border_key(country, borders))
-    found = country_at(named, borders)
-    point = border_key("point_country", borders)
+    """``keys`` with point_country (null if the named country is unknown), string_known, contradicts.
+
+    Countries are compared by key: the modern one that a name stands for, else the name's own if it is among the borders.
+    """
+    modern = lambda key: F.try_element_at(_map(reference.MODERN), key)
+    names = borders.select(F.col("key").alias("border_key")).distinct()
+    named = keys.withColumn("own_key", norm_border(country)).join(names, F.col("own_key") == F.col("border_key"), "left")
+    named = named.select(*keys.columns, F.coalesce(modern(F.col("own_key")), F.col("border_key")).alias("named_key"))
+    found = _at_points(named, borders, "lat", "lng")
+    point = F.coalesce(modern(F.col("at.key")), F.col("at.key"))
     same = F.col("named_key") == point
     for a, b in reference.COMPATIBLE:
         same = same | ((F.col("named_key") == a) & (point == b)) | ((F.col("named_key") == b) & (point == a))
     known = F.col("named_key").isNotNull()
     return found.select(
-        *keys.columns, F.when(known, F.col("point_country")).alias("point_country"), known.alias("string_known"),
+        *keys.columns, F.when(known, F.col("at.name")).alias("point_country"), known.alias("string_known"),
         F.coalesce(known & point.isNotNull() & ~same, F.lit(False)).alias("contradicts"),
     )
 

@@ -46,8 +46,8 @@ def cyclic(rows: DataFrame) -> DataFrame:
     return rows.withColumn("father", F.when(F.col("k") == 1, F.lit(0).cast("long")).otherwise(F.col("father")))
 
 
-def files(rows: DataFrame, trees: int = 25) -> DataFrame:
-    """The people as files (tree, text), dealt over ``trees`` trees; a family record for each person with a parent."""
+def records(rows: DataFrame, trees: int = 25) -> DataFrame:
+    """The people as stretches of files (tree, record, text), dealt over ``trees`` trees; a family record for each person with a parent."""
     tag = lambda level, name, value: F.concat(F.lit(f"{level} {name} "), value)
     ref = lambda kind, number: F.concat(F.lit(f"@{kind}"), F.col(number).cast("string"), F.lit("@"))
     some = F.col("father").isNotNull() | F.col("mother").isNotNull()
@@ -63,6 +63,11 @@ def files(rows: DataFrame, trees: int = 25) -> DataFrame:
         F.concat(F.lit("0 "), ref("F", "k"), F.lit(" FAM")), tag(1, "HUSB", ref("I", "father")), tag(1, "WIFE", ref("I", "mother")), tag(1, "CHIL", ref("I", "k")),
     )).otherwise(F.array().cast("array<string>"))
     lines = F.filter(F.concat(person, family), lambda x: x.isNotNull())
-    one = rows.select((F.col("k") % trees).cast("string").alias("tree"), "k", F.array_join(lines, "\n").alias("text"))
-    texts = one.groupBy("tree").agg(F.array_sort(F.collect_list(F.struct("k", "text"))).alias("all"))
+    return rows.select((F.col("k") % trees).cast("string").alias("tree"), F.col("k").alias("record"), F.array_join(lines, "\n").alias("text"))
+
+
+def files(rows: DataFrame, trees: int = 25, per_file: int = 100_000) -> DataFrame:
+    """The same as whole files (tree, text): ``trees`` of them, or more so that none has over ``per_file`` people."""
+    made = records(rows, max(trees, -(-rows.count() // per_file)))
+    texts = made.groupBy("tree").agg(F.array_sort(F.collect_list(F.struct("record", "text"))).alias("all"))
     return texts.select("tree", F.concat(F.lit("0 HEAD\n"), F.array_join(F.transform("all", lambda x: x["text"]), "\n"), F.lit("\n0 TRLR\n")).alias("text"))

@@ -6,12 +6,16 @@ from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from kinweave import schemas
 from kinweave.functions.text import blank_to_null, parse_coord, parse_date, parse_name, trim, valid_coord
 
 EVENT_TAGS = ("BIRT", "DEAT", "CHR", "BURI", "MARR")
+#: White space of any kind, and byte order marks; where a record begins: before a line of level 0.
+BLANK = "(?U:[\\s\\x{feff}])*"
+BEGIN = f"\n(?={BLANK}[+-]?0+(?![0-9]))"
+#: Records of one chunk of a file are numbered below this.
+CHUNK_RECORDS = 1 << 20
 
 
 class Source(Protocol):
@@ -21,32 +25,65 @@ class Source(Protocol):
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files, as lines have their order only within a file: tree (the path), text."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("tree"), F.col("value").alias("text"))
-
-
-def tokenize(texts: DataFrame) -> DataFrame:
-    """tree, line_no, level, xref, tag, value; blank lines and those without a level are left out."""
-    lines = texts.select("tree", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    parts = F.split(trim("line"), " +")
-    at = lambda i: F.coalesce(F.get("parts", F.lit(i)), F.lit(""))
-    rest = lambda i: F.array_join(F.slice("parts", i + 1, F.greatest(F.size("parts") - i, F.lit(0))), " ")
-    named = at(1).startswith("@") & at(1).endswith("@")
-    lines = lines.filter(trim("line") != "").select("tree", "line_no", parts.alias("parts"))
-    lines = lines.withColumn("level", F.regexp_extract(at(0), "^[+-]?[0-9]+", 0).try_cast("int")).filter("level is not null")
-    return lines.select(
-        "tree", "line_no", "level", F.when(named, at(1)).alias("xref"),
-        F.when(named, at(2)).otherwise(at(1)).alias("tag"), F.when(named, rest(3)).otherwise(rest(2)).alias("value"),
-    )
+    """tree (the path), record, text of stretches of files, each of one record as a rule; files are read in many tasks.
+
+    Spark cuts at the line breaks before `0 `; record grows along a file: where the block begins, and the row's number
+    in its partition, which is less than the bytes before it. What is left of a stretch's first line is made whole again,
+    but for the head of a file, which is told by its level.
+    """
+    rows = spark.read.text(path, lineSep="\n0 ")
+    rows = rows.select(F.input_file_name().alias("tree"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("n"), "value")
+    head = (F.col("block") == 0) & F.col("value").rlike(f"^{BLANK}[+-]?[0-9]+(?: |\\s*$|\\s*\n)")
+    whole = F.when(head, F.col("value")).otherwise(F.concat(F.lit("0 "), "value"))
+    return rows.select("tree", (F.col("block") + F.col("n").bitwiseAND((1 << 33) - 1)).alias("record"), whole.alias("text"))
+
+
+def tokenize(text: Column) -> Column:
+    """The lines of a text as (level, xref, tag, value); blank lines and those without a level are left out."""
+    parts = F.transform(F.split(text, "\n"), lambda line: F.split(trim(line), " +"))
+
+    def line(p: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(p, F.lit(i)), F.lit(""))
+        rest = lambda i: F.array_join(F.slice(p, i + 1, F.greatest(F.size(p) - i, F.lit(0))), " ")
+        named = at(1).startswith("@") & at(1).endswith("@")
+        return F.struct(
+            F.regexp_extract(at(0), "^[+-]?[0-9]+", 0).try_cast("int").alias("level"), F.when(named, at(1)).alias("xref"),
+            F.when(named, at(2)).otherwise(at(1)).alias("tag"), F.when(named, rest(3)).otherwise(rest(2)).alias("value"),
+        )
+
+    return F.filter(F.transform(parts, line), lambda x: x["level"].isNotNull())
+
 
+def _values(lines: Column | str, level: int, tag: str) -> Column:
+    return F.transform(F.filter(lines, lambda x: (x["level"] == level) & (x["tag"] == tag)), lambda x: x["value"])
 
-def _last(value: Column, where: Column) -> Column:
-    return F.max_by(F.when(where, value), F.when(where, F.col("line_no")))
 
+def _last(values: Column) -> Column:
+    return F.try_element_at(values, F.lit(-1))
 
-def _all(where: Column) -> Column:
-    found = F.array_sort(F.collect_list(F.when(where & (F.col("value") != ""), F.struct("line_no", "value"))))
-    return F.transform(found, lambda x: x["value"])
+
+def _told(lines: Column | str, tag: str) -> Column:
+    """The values of a tag of level 1 that aren't empty, in order."""
+    return F.filter(_values(lines, 1, tag), lambda v: v != "")
+
+
+def _events(lines: str) -> Column:
+    """Each line of level 1 with the lines up to the next one, if it begins an event."""
+    begins = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.element_at(lines, i)["level"] == 1)
+    ends = F.concat(F.slice(begins, 2, F.size(begins)), F.array(F.size(lines) + 1))
+    spans = F.filter(F.arrays_zip(begins.alias("b"), ends.alias("e")), lambda x: F.element_at(lines, x["b"])["tag"].isin(*EVENT_TAGS))
+
+    def event(span: Column) -> Column:
+        own = F.slice(lines, span["b"], span["e"] - span["b"])
+        axis = lambda tag: _last(F.filter(F.transform(_values(own, 4, tag), parse_coord), lambda v: v.isNotNull()))
+        lat, lng = axis("LATI"), axis("LONG")
+        coords = F.when(valid_coord(lat, lng), F.struct(lat.alias("lat"), lng.alias("lng")))
+        return F.struct(
+            F.element_at(lines, span["b"])["tag"].alias("type"), parse_date(_last(_values(own, 2, "DATE"))).alias("date"),
+            blank_to_null(_last(_values(own, 2, "PLAC"))).alias("place"), coords.alias("coords"),
+        )
+
+    return F.when(F.size(begins) > 0, F.transform(spans, event)).otherwise(F.array()).cast(f"array<{schemas.EVENT}>")
 
 
 def _latest(records: DataFrame) -> DataFrame:
@@ -55,41 +92,28 @@ def _latest(records: DataFrame) -> DataFrame:
 
 
 def scan(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(individuals, families) of texts (tree, text). Records and events are counted off line by line within a tree."""
-    upto = Window.partitionBy("tree").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    lines = tokenize(texts).withColumn("record", F.sum((F.col("level") == 0).cast("long")).over(upto))
-    upto = Window.partitionBy("tree", "record").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("event", F.sum((F.col("level") == 1).cast("long")).over(upto))
-    head = F.first(F.when(F.col("level") == 0, F.struct("tag", "xref")), True).over(upto)
-    lines = lines.withColumn("head", head).filter("head.xref is not null").withColumn("kind", F.col("head.tag")).withColumn("xref", F.col("head.xref")).drop("head")
-    one = F.col("level") == 1
-
-    named = one & (F.col("tag") == "NAME")
-    name = parse_name("value")
-    first = lambda part: F.min_by(F.when(named, name[part]), F.when(named & name[part].isNotNull(), F.col("line_no")))
-    sex = _last(F.col("value"), one & (F.col("tag") == "SEX"))
-    people = lines.filter("kind = 'INDI'").groupBy("tree", "record", "xref").agg(
-        first("given").alias("given"), first("surname").alias("surname"),
-        F.when(sex.isin("M", "F"), sex).otherwise("U").alias("sex"),
-        _all(one & (F.col("tag") == "FAMC")).alias("famc"), _all(one & (F.col("tag") == "FAMS")).alias("fams"),
+    """(individuals, families) of texts (tree, text), or of stretches of them (tree, record, text).
+
+    A text is cut before its lines of level 0, and each record is read within its row, so only finished records are
+    shuffled, to look for repeated references; no task holds a whole tree.
+    """
+    at = F.col("record") * CHUNK_RECORDS if "record" in texts.columns else F.lit(0).cast("long")
+    records = texts.select("tree", at.alias("at"), F.posexplode(F.split("text", BEGIN)).alias("pos", "text"))
+    records = records.select("tree", (F.col("at") + F.col("pos")).alias("record"), tokenize(F.col("text")).alias("lines"))
+    head = F.get("lines", F.lit(0))
+    records = records.filter((head["level"] == 0) & head["xref"].isNotNull()).withColumns({"xref": head["xref"], "kind": head["tag"]})
+
+    name = F.transform(_values("lines", 1, "NAME"), parse_name)
+    first = lambda part: F.get(F.filter(F.transform(name, lambda x: x[part]), lambda v: v.isNotNull()), F.lit(0))
+    sex = _last(_values("lines", 1, "SEX"))
+    people = records.filter("kind = 'INDI'").select(
+        "tree", "record", "xref", first("given").alias("given"), first("surname").alias("surname"),
+        F.when(sex.isin("M", "F"), sex).otherwise("U").alias("sex"), _events("lines").alias("events"),
+        _told("lines", "FAMC").alias("famc"), _told("lines", "FAMS").alias("fams"),
     )
-
-    at = lambda level, tag: (F.col("level") == level) & (F.col("tag") == tag)
-    coord = parse_coord("value")
-    axis = lambda tag: _last(coord, at(4, tag) & coord.isNotNull())
-    events = lines.filter("kind = 'INDI' and event > 0").groupBy("tree", "record", "event").agg(
-        F.first(F.when(one, F.col("tag")), True).alias("type"), parse_date(_last(F.col("value"), at(2, "DATE"))).alias("date"),
-        blank_to_null(_last(F.col("value"), at(2, "PLAC"))).alias("place"), axis("LATI").alias("lat"), axis("LONG").alias("lng"),
-    ).filter(F.col("type").isin(*EVENT_TAGS))
-    coords = F.when(valid_coord("lat", "lng"), F.struct("lat", "lng"))
-    events = events.select("tree", "record", "event", F.struct("type", "date", "place", coords.alias("coords")).alias("e"))
-    events = events.groupBy("tree", "record").agg(F.array_sort(F.collect_list(F.struct("event", "e"))).alias("events"))
-    people = people.join(events, ["tree", "record"], "left").withColumn("events", F.coalesce(F.transform("events", lambda x: x["e"]), F.array().cast(f"array<{schemas.EVENT}>")))
-
-    families = lines.filter("kind = 'FAM'").groupBy("tree", "record", "xref").agg(
-        blank_to_null(_last(F.col("value"), one & (F.col("tag") == "HUSB"))).alias("husband"),
-        blank_to_null(_last(F.col("value"), one & (F.col("tag") == "WIFE"))).alias("wife"),
-        _all(one & (F.col("tag") == "CHIL")).alias("children"),
+    families = records.filter("kind = 'FAM'").select(
+        "tree", "record", "xref", blank_to_null(_last(_values("lines", 1, "HUSB"))).alias("husband"),
+        blank_to_null(_last(_values("lines", 1, "WIFE"))).alias("wife"), _told("lines", "CHIL").alias("children"),
     )
     people = _latest(people).select("tree", F.col("xref").alias("id"), "seq", "r.given", "r.surname", "r.sex", "r.events", "r.famc", "r.fams")
     families = _latest(families).select("tree", F.col("xref").alias("id"), "seq", "r.husband", "r.wife", "r.children")
