@@ -53,6 +53,12 @@ def pedigree_nodes(spark, sf_dir):
     return _walked(spark, derived.people(spark, sf_dir)).nodes.select("id", "times_reached", "contribution_weight", "leaf_weight", "is_leaf", _text("depths"))
 
 
+def person_lookup(spark, sf_dir):
+    """One person of the walk, by id."""
+    nodes = _walked(spark, derived.people(spark, sf_dir)).nodes
+    return present.find_person(nodes, 11).select("id", "times_reached", "contribution_weight", "is_leaf")
+
+
 def pedigree_gaps(spark, sf_dir):
     return _walked(spark, derived.people(spark, sf_dir)).gaps.select("id", "missing_parent_of", "slot", "depth", "contribution_weight")
 
@@ -137,6 +143,12 @@ def country_at_point(spark, sf_dir):
     return R.country_at(_keys(spark, sf_dir).filter("lat is not null").select("id", "lat", "lng"), reference.borders(spark)).select("id", "point_country")
 
 
+def country_in_rings(spark, sf_dir):
+    """Points in polygons with holes, of several parts and with slanted edges."""
+    shapes = reference.borders_from_rings(spark, derived.SHAPES)
+    return R.country_at(_keys(spark, sf_dir).filter("lat is not null").select("id", "lat", "lng"), shapes).select("id", "point_country")
+
+
 def coord_contradiction(spark, sf_dir):
     rows = _keys(spark, sf_dir).filter("lat is not null").withColumn("country", R.canonical_country(R.country_token("place")))
     return R.contradicts(rows, reference.borders(spark), "country").select("id", "country", "point_country", "string_known", "contradicts")
@@ -277,9 +289,9 @@ def variants_of_people(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        parent_edges, pedigree_nodes, pedigree_gaps, pedigree_cycle, pedigree_links, pedigree_counts, coverage_budget, coverage_all_roots,
+        parent_edges, pedigree_nodes, person_lookup, pedigree_gaps, pedigree_cycle, pedigree_links, pedigree_counts, coverage_budget, coverage_all_roots,
         ancestor_closure_counts, pick_root, fractional_shares, headcount_shares, place_variants, stub_resolve, geocode_first_token, canonical_country,
-        snapshot_asof, temporal_pip, country_at_point, coord_contradiction, ancient_rule, historical_resolve, parse_gdate, parse_coords, parse_names,
+        snapshot_asof, temporal_pip, country_at_point, country_in_rings, coord_contradiction, ancient_rule, historical_resolve, parse_gdate, parse_coords, parse_names,
         gedcom_individuals, gedcom_families, gedcom_parents, display_names, first_birth, depth_filter, placed_filter, spread_overlaps, map_points,
         migration_arcs, isolate_arcs, isolate_points, great_circle, unresolved_top10, deepest_generation, slider_ceiling, top_shares_with_rest,
         coverage_hundred_pct, share_labels, range_select, variants_of_people,

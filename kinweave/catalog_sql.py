@@ -94,6 +94,17 @@ def _raw(values) -> str:
     return f"SELECT c_custkey AS id, {_pick(values).replace('k %', 'c_custkey %')} AS raw FROM customer"
 
 
+def _shapes() -> str:
+    """The shapes of the test by inequalities: sides of a triangle; a box without the inside of another; two boxes."""
+    (x1, y1), (x2, y2), (x3, y3), _ = derived.SHAPES[0][1][0][0]
+    left = lambda a, b, c, d: f"({c} - {a}) * (lat - {b}) - ({d} - {b}) * (lng - {a}) >= 0"
+    box = lambda ring: f"lng BETWEEN {ring[0][0]} AND {ring[2][0]} AND lat BETWEEN {ring[0][1]} AND {ring[2][1]}"
+    outer, hole = derived.SHAPES[1][1][0]
+    open_ = f"lng > {hole[0][0]} AND lng < {hole[2][0]} AND lat > {hole[0][1]} AND lat < {hole[2][1]}"
+    parts = " OR ".join(f"({box(p[0])})" for p in derived.SHAPES[2][1])
+    return f"WHEN {left(x1, y1, x2, y2)} AND {left(x2, y2, x3, y3)} AND {left(x3, y3, x1, y1)} THEN 'Slanted' WHEN {box(outer)} AND NOT ({open_}) THEN 'Holed' WHEN {parts} THEN 'Parted'"
+
+
 def oracle_sql() -> dict[str, str]:
     cyclic = _tables()["ppl"].replace("SELECT *, k AS id", "SELECT * REPLACE (CASE WHEN id = 1 THEN 0 ELSE father END AS father) FROM (SELECT *, k AS id") + ")"
     stub = _values((k, v, ref.CULTURE.get(v)) for k, v in ref.STUB.items())
@@ -105,6 +116,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "parent_edges": _with("ppl", "edge", body="SELECT * FROM edge"),
         "pedigree_nodes": _with(*WALK, body="SELECT n.id, times_reached, contribution_weight, leaf_weight, is_leaf, d.depths FROM node n JOIN (SELECT id, string_agg(depth::VARCHAR, ',' ORDER BY pk) AS depths FROM (SELECT id, depth, min(path_key) AS pk FROM visit GROUP BY ALL) GROUP BY id) d USING (id)"),
+        "person_lookup": _with(*WALK, body="SELECT id, times_reached, contribution_weight, is_leaf FROM node WHERE id = 11"),
         "pedigree_gaps": _with(*WALK, body="SELECT 'gap:' || missing_parent_of || ':' || slot AS id, * FROM gap"),
         "pedigree_cycle": _with(*WALK, body="SELECT * FROM gap", ppl=cyclic),
         "pedigree_links": _with(*WALK, body="SELECT * FROM link"),
@@ -124,6 +136,7 @@ def oracle_sql() -> dict[str, str]:
         "snapshot_asof": _with("ppl", "pol", "snap", body="SELECT id, p.year, s.snapshot_year FROM snap s JOIN ppl p USING (id)"),
         "temporal_pip": _with("ppl", "pol", "snap", body="SELECT p.id, arg_min(o.name, o.ord) AS subjecto, arg_min(o.part_of, o.ord) AS part_of, arg_min(o.snapshot_year, o.ord) AS snapshot_year FROM ppl p JOIN snap s USING (id) LEFT JOIN pol o ON o.snapshot_year = s.snapshot_year AND p.lng BETWEEN o.w AND o.e AND p.lat BETWEEN o.s AND o.n WHERE p.lat IS NOT NULL GROUP BY p.id"),
         "country_at_point": _with("ppl", "box", "ptc", body="SELECT * FROM ptc"),
+        "country_in_rings": _with("ppl", body=f"SELECT id, CASE {_shapes()} END AS point_country FROM ppl WHERE lat IS NOT NULL"),
         "coord_contradiction": _with("ppl", *RESOLVE[:11], body="SELECT * FROM contra"),
         "ancient_rule": _with("ppl", "anc", body="SELECT * FROM anc"),
         "historical_resolve": _with("ppl", *RESOLVE, body="SELECT * FROM res"),

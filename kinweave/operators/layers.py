@@ -10,6 +10,8 @@ from kinweave.functions.measures import cell, distance_km, spread_lat, spread_ln
 
 #: Least weight of an arc, of a long one, and from how many km on an arc is long.
 ARC_WEIGHT, LONG_WEIGHT, LONG_KM = 0.002, 0.0001, 1500
+#: Fixed value: below this camera altitude no arc is shown.
+LEAST_ALTITUDE = 0.45
 
 
 def filter_by_depth(people: DataFrame, depth: int) -> DataFrame:
@@ -58,3 +60,8 @@ def isolate_arcs(arcs: DataFrame, regions: list[str]) -> DataFrame:
 def isolate_points(points: DataFrame, regions: list[str]) -> DataFrame:
     """Points with included: whether their region is selected; others are dimmed, not removed."""
     return points.withColumn("included", F.coalesce(F.col("region").isin(*regions), F.lit(False)) if regions else F.lit(True))
+
+
+def visible_arcs(arcs: DataFrame, altitude: float) -> DataFrame:
+    """All arcs, or none if the camera is too close."""
+    return arcs if altitude >= LEAST_ALTITUDE else arcs.limit(0)

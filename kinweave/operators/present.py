@@ -50,6 +50,11 @@ def toggle(selected: set[str], region: str) -> set[str]:
     return selected ^ {region}
 
 
+def find_person(people: DataFrame, id_) -> DataFrame:
+    """The row of one person for each root, none if the id isn't there or is null."""
+    return people.filter(F.col("id") == F.lit(id_))
+
+
 def variants_of(people: DataFrame, place_variants: DataFrame) -> DataFrame:
     """People with the names folded into their country; an empty list where there are none."""
     known = place_variants.select("root_id", F.col("region").alias("modern_country"), "variants")

@@ -172,17 +172,65 @@ class StubResolver:
         return rows.select(*KEY, *_result(modern_country=country, historical_polity=country, cultural_region=F.try_element_at(cultures, country), confidence=F.when(country.isNotNull(), 0.5).otherwise(0.0), provenance=why))
 
 
+class Geocoder(Protocol):
+    """Turns keys (place, year, lat, lng) into keys with hit (token, entry), null if no name is known."""
+
+    def find(self, keys: DataFrame) -> DataFrame: ...
+
+
+class Boundaries(Protocol):
+    """Adds polity (snapshot_year, name, subjecto, part_of, border_precision) that held a point in the row's year, or null."""
+
+    def at(self, rows: DataFrame, lat: str, lng: str) -> DataFrame: ...
+
+
+class Borders(Protocol):
+    """Adds point_country, string_known and contradicts: whether a point (lat, lng) lies in another country than the named one."""
+
+    def check(self, rows: DataFrame, country: str) -> DataFrame: ...
+
+
 @dataclass(frozen=True)
-class HistoricalResolver:
-    """By gazetteer, or by a point that the record has: today's country, then the polity whose borders held the point that year."""
+class GazetteerIndex:
+    """The geocoder by a table of names (``reference.gazetteer_index``)."""
 
     index: DataFrame
+
+    def find(self, keys: DataFrame) -> DataFrame:
+        return geocode(keys, self.index)
+
+
+@dataclass(frozen=True)
+class PolityTable:
+    """Boundaries by a table of polities (``reference.polities``)."""
+
     polities: DataFrame
+
+    def at(self, rows: DataFrame, lat: str, lng: str) -> DataFrame:
+        return polity_at(rows, self.polities, lat, lng)
+
+
+@dataclass(frozen=True)
+class BorderTable:
+    """Borders by a table of polygons (``reference.borders``)."""
+
     borders: DataFrame
 
+    def check(self, rows: DataFrame, country: str) -> DataFrame:
+        return contradicts(rows, self.borders, country)
+
+
+@dataclass(frozen=True)
+class HistoricalResolver:
+    """By gazetteer, or by a point that the record has: today's country, then the polity whose borders held the point that year."""
+
+    geocoder: Geocoder
+    boundaries: Boundaries
+    borders: Borders
+
     def _in_time(self, rows: DataFrame) -> DataFrame:
         """Fills polity, region, confidence and the rest of the reasons, from base_* columns and the accepted point."""
-        timed = polity_at(rows, self.polities, "at_lat", "at_lng")
+        timed = self.boundaries.at(rows, "at_lat", "at_lng")
         p, year = F.col("polity"), F.col("year")
         note = (
             F.when(year.isNull(), "; no-date(historical=modern)")
@@ -200,7 +248,7 @@ class HistoricalResolver:
         return self._by_name(keys.filter("lat is null or lng is null")).unionByName(self._by_point(keys.filter("lat is not null and lng is not null")))
 
     def _by_name(self, keys: DataFrame) -> DataFrame:
-        rows = geocode(keys, self.index)
+        rows = self.geocoder.find(keys)
         entry = F.col("hit.entry")
         missed = rows.filter("hit is null")
         blank = F.coalesce(trim("place"), F.lit("")) == ""
@@ -217,7 +265,7 @@ class HistoricalResolver:
 
     def _by_point(self, keys: DataFrame) -> DataFrame:
         rows = keys.withColumn("country_raw", country_token("place"))
-        rows = contradicts(rows.withColumn("country", canonical_country("country_raw")), self.borders, "country")
+        rows = self.borders.check(rows.withColumn("country", canonical_country("country_raw")), "country")
         rows = rows.withColumn("ancient", F.when(~F.col("string_known"), ancient_contradiction("place", "lat", "lng")))
         head = F.concat(F.lit("gedcom-embedded-coords:("), number_text("lat"), F.lit(","), number_text("lng"), F.lit(")"))
         fold = F.coalesce(self._fold(), F.lit(""))
@@ -233,7 +281,7 @@ class HistoricalResolver:
 
 def default_resolver(spark: SparkSession) -> HistoricalResolver:
     """The sample tables, with coarse boxes in place of today's borders."""
-    return HistoricalResolver(reference.gazetteer_index(reference.gazetteer(spark)), reference.polities(spark), reference.borders(spark))
+    return HistoricalResolver(GazetteerIndex(reference.gazetteer_index(reference.gazetteer(spark))), PolityTable(reference.polities(spark)), BorderTable(reference.borders(spark)))
 
 
 def resolve_rows(rows: DataFrame, resolver: Resolver) -> DataFrame:

@@ -17,6 +17,13 @@ DATES = ("12 JAN 1850", "ABT 1918", "BET 1840 AND 1850", "1 JAN 99", "500 BC", "
 COORDS = ("45.5236", "-122.675", "N45.5", "W122.5", "s 12", "W-3.5", "E", "12,5", "", "n90")
 NAMES = ("Test /Subject/", "Anna", "/Only/", "A /B/ C /D/", "", "  Jo  /  /")
 
+#: Polygons with a hole, of several parts, and with slanted edges, for tests: name, polygons of rings of (longitude, latitude).
+SHAPES = (
+    ("Slanted", (((((30.05, 46.03), (44.97, 50.01), (33.33, 70.07), (30.05, 46.03))),),)),
+    ("Holed", ((((0, 46), (20, 46), (20, 70), (0, 70), (0, 46)), ((5, 50), (12, 50), (12, 60), (5, 60), (5, 50))),)),
+    ("Parted", ((((7, 52), (10, 52), (10, 58), (7, 58), (7, 52)),), (((15, 40), (26, 40), (26, 48), (15, 48), (15, 40)),))),
+)
+
 EXPRESSIONS = {
     "father": "CASE WHEN k % 17 = 13 THEN NULL WHEN 2 * k + 1 < n THEN 2 * k + 1 END",
     "mother": "CASE WHEN k % 19 = 14 THEN NULL WHEN k % 4 = 2 AND 2 * k + 3 < n THEN 2 * k + 3 WHEN k % 4 <> 2 AND 2 * k + 2 < n THEN 2 * k + 2 END",

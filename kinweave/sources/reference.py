@@ -1,4 +1,4 @@
-"""Reference tables. All are small and of fixed size, so joins with them are broadcast."""
+"""Reference tables: small samples as fixed values, and loaders of full-size ones."""
 
 from __future__ import annotations
 
@@ -101,6 +101,23 @@ def gazetteer_index(table: DataFrame) -> DataFrame:
     return named.groupBy("token").agg(F.max_by("entry", "entry.ord").alias("entry"))
 
 
+def gazetteer_from_geonames(spark: SparkSession, places: str, countries: str) -> DataFrame:
+    """A gazetteer of any size from a GeoNames dump: the tab-separated table of places and that of countries (countryInfo).
+
+    Of places of one name the most populous counts, then the one of the smallest id. Places whose country isn't in the
+    second table are left out, as they would resolve to nothing.
+    """
+    field = lambda i: F.get(F.split("value", "\t"), F.lit(i))
+    named = spark.read.text(countries).filter(~F.col("value").startswith("#")).select(field(0).alias("country_code"), field(4).alias("modern_country"))
+    others = F.filter(F.split(F.coalesce(field(3), F.lit("")), ","), lambda x: x != "")
+    rank = F.coalesce(field(14).try_cast("long"), F.lit(0)) * (1 << 24) + ((1 << 24) - 1 - field(0).try_cast("long"))
+    rows = spark.read.text(places).select(
+        rank.alias("ord"), F.array_distinct(F.concat(F.array(field(1), field(2)), others)).alias("names"),
+        field(4).try_cast("double").alias("lat"), field(5).try_cast("double").alias("lng"), field(8).alias("country_code"),
+    ).filter("lat is not null and lng is not null")
+    return rows.join(named, "country_code").select("ord", "names", "lat", "lng", "country_code", "modern_country")
+
+
 def polities(spark: SparkSession, snapshots=None, known=None) -> DataFrame:
     """Polities with the years [begin, end) in which their snapshot holds; the first one reaches back without end."""
     snapshots, known = snapshots or SNAPSHOTS, known or POLITIES
@@ -131,8 +148,13 @@ def _with_boxes(table: DataFrame) -> DataFrame:
 
 def borders(spark: SparkSession, boxes=COARSE_BORDERS) -> DataFrame:
     """Borders from boxes: ord, name, rings (polygons of rings of points), bounding box, comparison key."""
-    ring = lambda w, s, e, n: [[(float(x), float(y)) for x, y in ((w, s), (e, s), (e, n), (w, n), (w, s))]]
-    return _with_boxes(spark.createDataFrame([(i, name, [ring(*box)]) for i, (name, *box) in enumerate(boxes)], schemas.BORDERS))
+    ring = lambda w, s, e, n: ((w, s), (e, s), (e, n), (w, n), (w, s))
+    return borders_from_rings(spark, [(name, [[ring(*box)]]) for name, *box in boxes])
+
+
+def borders_from_rings(spark: SparkSession, shapes) -> DataFrame:
+    """Borders from (name, polygons): a polygon is a list of rings, the first one outside, of (longitude, latitude)."""
+    return _with_boxes(spark.createDataFrame([(i, name, [[[(float(x), float(y)) for x, y in ring] for ring in rings] for rings in polygons]) for i, (name, polygons) in enumerate(shapes)], schemas.BORDERS))
 
 
 def borders_from_geojson(spark: SparkSession, path: str) -> DataFrame:

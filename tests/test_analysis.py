@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from kinweave.operators import layers
-from kinweave.operators.resolve import HistoricalResolver, StubResolver, default_resolver
+from kinweave.operators import layers, present
+from kinweave.operators.resolve import BorderTable, GazetteerIndex, HistoricalResolver, PolityTable, StubResolver, default_resolver, geocode
 from kinweave.plans import analyze as A
 from kinweave.sources import reference
 from tests.trees import SAMPLE, family, person, text
@@ -106,10 +106,50 @@ def test_stub_and_ports(spark):
     keys = spark.createDataFrame([("Danzig, Prussia", None, None, None), ("  ", None, None, None), (None, None, None, None), ("Nowhere", None, None, None)], "place string, year int, lat double, lng double")
     rows = {r["place"]: (r["modern_country"], r["provenance"]) for r in StubResolver(spark).resolve(keys).collect()}
     assert rows == {"Danzig, Prussia": ("Germany", 'stub:alias("prussia")'), "  ": (None, "stub:empty"), None: (None, "stub:empty"), "Nowhere": (None, "stub:no-alias-match")}
-    empty = HistoricalResolver(reference.gazetteer_index(reference.gazetteer(spark, [])), reference.polities(spark), reference.borders(spark, []))
+    empty = HistoricalResolver(GazetteerIndex(reference.gazetteer_index(reference.gazetteer(spark, []))), PolityTable(reference.polities(spark)), BorderTable(reference.borders(spark, [])))
     assert empty.resolve(keys).filter("modern_country is not null").count() == 0
 
 
+def test_own_ports(spark):
+    """Another geocoder, boundaries and borders than the tables."""
+
+    class Anywhere:
+        def find(self, keys):
+            entry = F.struct(F.lit(1).alias("ord"), F.lit(1.5).alias("lat"), F.lit(2.5).alias("lng"), F.lit("XX").alias("country_code"), F.lit("Utopia").alias("modern_country"))
+            return keys.withColumn("hit", F.struct(F.lower("place").alias("token"), entry.alias("entry")))
+
+    class Realm:
+        def at(self, rows, lat, lng):
+            told = [F.lit(v).alias(k) for k, v in (("snapshot_year", 1516), ("name", "Realm"), ("subjecto", "Realm"), ("part_of", "Myth"), ("border_precision", 3))]
+            return rows.withColumn("polity", F.struct(*told))
+
+    class Never:
+        def check(self, rows, country):
+            return rows.withColumns({"point_country": F.lit(None).cast("string"), "string_known": F.lit(True), "contradicts": F.lit(False)})
+
+    keys = spark.createDataFrame([("Amaurot", 1516, None, None), ("Here, There", 1600, 7.0, 8.0)], "place string, year int, lat double, lng double")
+    found = {r["raw"]: r for r in HistoricalResolver(Anywhere(), Realm(), Never()).resolve(keys).collect()}
+    assert (found["Amaurot"]["modern_country"], found["Amaurot"]["coord_lat"], found["Amaurot"]["historical_polity"]) == ("Utopia", 1.5, "Realm")
+    assert (found["Here, There"]["coord_lng"], found["Here, There"]["cultural_region"]) == (8.0, "Myth")
+
+
+def test_geonames(spark, tmp_path):
+    """The most populous of a name wins; alternate names count; unknown countries don't."""
+    place = lambda i, name, other, lat, lng, code, people: "\t".join([str(i), name, name, other, str(lat), str(lng), "P", "PPL", code, "", "", "", "", "", str(people), "", "", "", ""])
+    (tmp_path / "places.txt").write_text("\n".join([place(7, "Springfield", "", 39.8, -89.6, "US", 114000), place(5, "Springfield", "", 1.0, 2.0, "GB", 900), place(9, "Wien", "Vienna,Vindobona", 48.2, 16.4, "AT", 1900000), place(3, "Nowhere", "", 0.0, 0.0, "ZZ", 5)]))
+    (tmp_path / "countries.txt").write_text("#ISO\tISO3\nUS\tUSA\t840\tUS\tUnited States\nGB\tGBR\t826\tUK\tUnited Kingdom\nAT\tAUT\t040\tAU\tAustria")
+    index = reference.gazetteer_index(reference.gazetteer_from_geonames(spark, str(tmp_path / "places.txt"), str(tmp_path / "countries.txt")))
+    keys = spark.createDataFrame([(p, None, None, None) for p in ("Springfield", "Stephansplatz, vindobona, X", "Nowhere")], "place string, year int, lat double, lng double")
+    found = {r["place"]: r["hit"] and (r["hit"]["entry"]["modern_country"], r["hit"]["entry"]["lat"]) for r in geocode(keys, index).collect()}
+    assert found == {"Springfield": ("United States", 39.8), "Stephansplatz, vindobona, X": ("Austria", 48.2), "Nowhere": None}
+
+
+def test_person_and_arcs(sample):
+    assert [r["id"] for r in present.find_person(sample.people, "@I7@").collect()] == ["@I7@"] and present.find_person(sample.people, None).isEmpty()
+    _, arcs = layers.build_layers(sample.people, sample.links, 8)
+    assert layers.visible_arcs(arcs, 0.45).count() == 12 and layers.visible_arcs(arcs, 0.44).isEmpty()
+
+
 def test_arguments():
     assert vars(A.arguments(["x.ged", "--root=@I3@", "--gen", "9.7"])) == {"path": "x.ged", "root": "@I3@", "gen": 9}
     for bad in (["x", "--gen", "-1"], ["x", "--gen=a"], ["x", "y"], [], ["x", "--other"]):

@@ -5,6 +5,7 @@ import random
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from kinweave.operators import pedigree as P
 
@@ -68,6 +69,38 @@ def test_caps_and_errors(spark):
         P.pick_root(spark.createDataFrame([], SCHEMA))
 
 
+def test_walk_from_many_roots(spark):
+    """Over a million visits: more than Spark's recursion bears; what is reached and what is missing make up 1 for each root."""
+    n = 120_000
+    people = spark.range(n).selectExpr("id", "id AS seq", "CASE WHEN 2 * id + 1 < {n} THEN 2 * id + 1 END AS father".format(n=n), "CASE WHEN id % 7 > 0 AND 2 * id + 2 < {n} THEN 2 * id + 2 END AS mother".format(n=n))
+    walked = P.build(people, people.selectExpr("id AS root_id"), 16)
+    own = walked.nodes.selectExpr("root_id", "leaf_weight AS w", "times_reached AS n").unionByName(walked.gaps.selectExpr("root_id", "contribution_weight AS w", "0L AS n"))
+    sums = own.groupBy("root_id").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
+    assert sums.filter("w = 1").count() == n and sums.agg(F.sum("n")).first()[0] > 1_000_000
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_root_of_most_ancestors(spark, seed):
+    """By bounds as by counting all, ties to the first of the file; with a cycle too."""
+    rng = random.Random(seed)
+    own = {f"p{i:03}": tuple(f"p{rng.randrange(i + 1, i + 12):03}" if rng.random() < 0.8 and i < 85 else None for _ in range(2)) for i in range(100)}
+    for extra in ({}, {"p099": ("p050", None)}):
+        tree = own | extra
+        table = spark.createDataFrame([(k, i, *v) for i, (k, v) in enumerate(tree.items())], SCHEMA)
+        counts = {}
+        for who in tree:
+            seen, queue = set(), [who]
+            while queue:
+                new = {p for p in tree[queue.pop()] if p} - seen
+                seen |= new
+                queue += new
+            counts[who] = len(seen)
+        best = max(counts, key=lambda k: (counts[k], -list(tree).index(k)))
+        found = P.pick_root(table, candidates=2).first()
+        assert (found["root_id"], found["ancestors"]) == (best, counts[best])
+        assert {r["id"]: r["ancestors"] for r in P.ancestor_counts(table).collect()} == counts
+
+
 def test_cycles_are_seen(spark):
     table = lambda own: spark.createDataFrame([(k, i, *v) for i, (k, v) in enumerate(own.items())], SCHEMA)
     assert P.has_cycle(table(CYCLE)) and not P.has_cycle(table(COLLAPSE))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import text as T
 from kinweave.functions.measures import cell, share_label
-from kinweave.sources.gedcom import GedcomText, Rows
+from kinweave.sources.gedcom import GedcomFile, GedcomText, Rows, read_text
 
 LINES = [
     "1 NAME before any record", "0 @I1@ INDI\r", "1 NAME Jo", "1 NAME Other /Sur/", "1 SEX M", "1 SEX X", "  1 BIRT", "2 DATE BET 1840 AND 1850", "2 PLAC a   b", "2 PLAC c,   d",
@@ -26,6 +26,28 @@ def test_scan(spark):
     assert (family["husband"], family["wife"], family["children"]) == (None, "@B@", ["@I1@"])
 
 
+def test_files_are_read_in_stretches(spark, tmp_path):
+    """A file over many blocks gives the rows, in order, that its text gives at once; odd lines of level 0 begin records too."""
+    lines = ["0 HEAD", "1 CHAR UTF-8"]
+    for i in range(4000):
+        lines += [f"0 @I{i % 3990}@ INDI", f"1 NAME N{i} /S/", "1 BIRT", f"2 DATE {1700 + i % 300}", "2 PLAC Ort, Land", f"1 FAMC @F{i}@"]
+        lines += ["", f"  +00 @F{i}@ FAM", f"1 HUSB @I{i + 1}@"] if i % 5 == 0 else ["0 @N1@ NOTE 0 zero", "1 CONT 0 @X@ INDI"] if i % 7 == 0 else []
+    whole = "\r\n".join([*lines, "0 TRLR"])
+    path = tmp_path / "tree.ged"
+    path.write_bytes(whole.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        source = GedcomFile(spark, str(path))
+        assert read_text(spark, str(path)).select(F.spark_partition_id()).distinct().count() > 5
+        found = [x.drop("tree", "seq").orderBy("id").collect() for x in source.load()]
+        order = [[r["id"] for r in x.orderBy("seq").select("id").collect()] for x in source.load()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    once = GedcomText(spark, whole).load()
+    assert found == [x.drop("tree", "seq").orderBy("id").collect() for x in once] and len(found[0]) == 3990 and len(found[1]) == 800
+    assert order == [[r["id"] for r in x.orderBy("seq").select("id").collect()] for x in once]
+
+
 def test_rows_source(spark):
     people, families = Rows(spark, [("a", "A", None), ("b", "B", None)], {"a": ("b", None)}).load()
     assert people.count() == 2 and families.first()["husband"] == "b"
