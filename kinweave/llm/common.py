@@ -13,7 +13,8 @@ from pyspark.sql.window import Window
 
 #: Java's regular expression for one character that separates words.
 SPACE = r"\x20\x09-\x0D"
-MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: How the folders of tables that are written on the way begin.
+WRITTEN = "kinweave-"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,11 +44,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """As ``checkpoint``, in Parquet: smaller for long texts, and columns that are not read cost nothing."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/kinweave-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{WRITTEN}{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a table that ``written`` wrote, and no others; what was worked out from it must be written by then."""
+    folders = {x.rpartition("/")[0] for x in df.inputFiles()}
+    for folder in folders:
+        if folder.rpartition("/")[2].startswith(WRITTEN):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Rows of a table of row numbers that may be broadcast (8 MB of numbers).
 BROADCAST_ROWS = 1_000_000
 

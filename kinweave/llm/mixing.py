@@ -163,16 +163,18 @@ def mix_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The mix as documents with the columns of ``docs``: a row for each document and pass, its text the words taken in that pass.
 
     A pass that takes all of a document keeps its text unchanged; else the taken stretches are joined, each word with
-    the white space after it. Documents of no words are never taken. n_chars, if there, is set anew.
+    the white space after it. Documents of no words, null or blank, are never taken; repeated rows are documents of
+    their own. n_chars, if there, is set anew. An empty table gives no rows.
     """
     held = numbered(docs)
     base, taken = plan(held, block, "row")
     spans = taken.groupBy("row_id", "pass").agg(F.sum("n_words").alias("taken_words"), F.sort_array(F.collect_list(F.struct("first", "n_words"))).alias("spans"))
     spans = spans.join(base.select("row_id", (F.col("size") * 1).alias("all_words")), "row_id").withColumnRenamed("row_id", "row")
-    words = F.regexp_extract_all(F.col("text"), F.lit(f"([^{SPACE}]+[{SPACE}]*)"), F.lit(1))
+    text = F.coalesce(F.col("doc.text").cast("string"), F.lit(""))
+    words = F.regexp_extract_all(text, F.lit(f"([^{SPACE}]+[{SPACE}]*)"), F.lit(1))
     whole = F.col("taken_words") == F.col("all_words")
-    out = held.select("row", text_of().alias("text"), "doc").join(spans, "row").withColumn("words", F.when(~whole, words))
+    out = held.select("row", "doc").join(spans, "row").withColumn("words", F.when(~whole, words))
     part = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(F.col("words"), s["first"].cast("int") + 1, s["n_words"].cast("int")))), "")
-    out = out.withColumn("text", F.when(whole, F.col("text")).otherwise(part))
-    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    out = out.withColumn("taken_text", F.when(whole, text).otherwise(part))
+    new = {"text": F.col("taken_text"), "n_chars": F.char_length("taken_text").cast("long")}
     return out.select(*[new[c].alias(c) if c in new else F.col("doc").getField(c).alias(c) for c in docs.columns])

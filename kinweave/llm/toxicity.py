@@ -8,9 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from kinweave.llm.common import bound63, hash63, held_out, text_of
+from kinweave.llm.common import bound63, checkpoint, hash63, held_out, text_of
 
 #: Bounds of what is fitted on: confirmed and unlabelled documents, code points of each, words of the model.
 POSITIVES, UNLABELLED, MOST_CHARS, VOCABULARY = 2000, 4000, 32_768, 512
@@ -98,9 +97,10 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[bytes, float], float
     kinds = F.array_compact(F.array(F.when(F.col("positive"), "positive"), F.when(drawn, "unlabelled")))
     rows = rows.withColumn("hash", hash63(F.lit(2), "id", "text")).filter(F.col("positive") | drawn)
     rows = rows.select("hash", F.explode(kinds).alias("kind"), F.substring("text", 1, MOST_CHARS).alias("text"))
-    rows = rows.groupBy("kind", "hash").agg(F.min("text").alias("text")).withColumn("nth", F.row_number().over(Window.partitionBy("kind").orderBy("hash")))
-    sample = rows.filter(F.col("nth") <= F.when(F.col("kind") == "positive", POSITIVES).otherwise(UNLABELLED)).toPandas().sort_values(["kind", "nth"])
-    own = {kind: list(dict.fromkeys(frozenset(words(x)) for x in sample["text"][sample["kind"] == kind])) for kind in ("positive", "unlabelled")}
+    rows = checkpoint(rows.groupBy("kind", "hash").agg(F.min("text").alias("text")))
+    least = lambda kind, n: [r["text"] for r in rows.filter(F.col("kind") == kind).orderBy("hash").limit(n).select("text").collect()]
+    sample = {"positive": least("positive", POSITIVES), "unlabelled": least("unlabelled", UNLABELLED)}
+    own = {kind: list(dict.fromkeys(frozenset(words(x)) for x in texts)) for kind, texts in sample.items()}
     return fit(own["positive"], own["unlabelled"], (seen["toxic"] or 0) / max(seen["n"], 1))
 
 

@@ -1,9 +1,10 @@
 """The pipeline's stages, one after the other, and its queries' registration."""
 
 import random
+from pathlib import Path
 
 import corpus_pipeline
-from kinweave.llm import queries
+from kinweave.llm import common, queries
 
 
 def test_stages(spark, tmp_path):
@@ -31,6 +32,54 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(packed)
 
 
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, row long, row_id long, doc string, kept boolean, key string, h1 long, best int"
+
+
+def test_odd_rows(spark, tmp_path):
+    """Null ids, texts and sources, repeated rows, very long texts, and columns of clashing names go through all stages."""
+    rng = random.Random(16)
+    extra = (1, 2, "d", True, "k", 3, 4)
+    texts = [" ".join(f"w{rng.randint(0, 3000)}" for _ in range(80)) for _ in range(40)]
+    rows = [(i, t, "en", f"s{i % 3}", len(t), *extra) for i, t in enumerate(texts)]
+    rows += [(None, texts[0] + " x", None, None, None, *extra)] * 3 + [(5, texts[5], "en", "s2", 9, *extra)] * 2
+    rows += [(None, None, None, None, None, *extra), (50, "", None, "s1", 0, *extra), (51, " \n", None, "s1", 2, *extra), (52, None, "en", None, None, *extra)]
+    rows += [(53, " ".join(f"v{rng.randint(0, 9000)}" for _ in range(60_000)), "en", "s1", 1, *extra), (54, "x" * 200_000, "en", "s1", 1, *extra)]
+    spark.createDataFrame(rows, COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, 1), (1, None), (2, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        kept[name] = sorted((r["doc_id"] if r["doc_id"] is not None else -1 for r in docs.collect()))
+    assert kept["toxicity"] == sorted(r[0] if r[0] is not None else -1 for r in rows)
+    blank = 51  # of null, empty and blank texts the longest original
+    assert kept["exact_dedup"] == sorted([-1, *range(40), blank, 53, 54])
+    assert kept["near_dedup"] == sorted([*range(40), blank, 53, 54])  # the row without an id is near document 0
+    assert set(kept["mix"]) <= {*range(40), 53, 54}
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in packed} == set(kept["mix"])
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_what_is_not_needed_goes(spark, tmp_path):
+    """Only tables that were written on the way are deleted."""
+    one = common.written(spark.range(5))
+    spark.range(3).write.parquet(f"{tmp_path}/own")
+    own = spark.read.parquet(f"{tmp_path}/own")
+    folder = Path(one.inputFiles()[0].removeprefix("file:")).parent
+    assert folder.is_dir()
+    common.forget(one)
+    common.forget(own)
+    assert not folder.exists() and own.count() == 3
+
+
 def test_registered():
     names = list(queries.queries())
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and set(queries.oracle_sql()) <= set(names)
