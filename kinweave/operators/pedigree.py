@@ -112,11 +112,12 @@ def walk(parents_: DataFrame, roots: DataFrame, cap: int = 8, mode: str = "auto"
     """
     if cap < 0:
         raise ValueError("the number of generations is below 0")
-    lost = roots.join(parents_, F.col("root_id") == F.col("id"), "left_anti")
-    if not lost.isEmpty():
-        raise ValueError(f"root {lost.first()['root_id']} is not in the tree")
+    known = parents_.select(F.col("id").alias("known"))
+    asked = roots.join(known, F.col("root_id") == F.col("known"), "left").agg(F.count("*").alias("n"), F.min(F.when(F.col("known").isNull(), F.struct("root_id"))).alias("lost")).first()
+    if asked["lost"]:
+        raise ValueError(f"root {asked['lost']['root_id']} is not in the tree")
     if mode == "auto":
-        few = cap < 64 and roots.count() << (cap + 1) <= RECURSION_VISITS
+        few = cap < 64 and asked["n"] << (cap + 1) <= RECURSION_VISITS
         mode = "recursive" if few else "paths" if has_cycle(parents_) else "pooled"
     if mode == "recursive":
         return _recursive(parents_.sparkSession, roots, edges(parents_), cap)
