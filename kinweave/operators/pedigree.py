@@ -168,8 +168,12 @@ def ancestor_counts(parents_: DataFrame, of: DataFrame | None = None) -> DataFra
     return people.join(counts, "id", "left").select("id", "seq", F.coalesce("ancestors", F.lit(0)).cast("long").alias("ancestors"))
 
 
-def most_ancestors(parents_: DataFrame) -> DataFrame:
-    """id, seq, most: no fewer than the ancestors of each person who is nobody's parent, for trees without cycles.
+#: Generations after which it is worth finding out whether a tree has a cycle.
+DEEP = 64
+
+
+def most_ancestors(parents_: DataFrame) -> DataFrame | None:
+    """id, seq, most: no fewer than the ancestors of each person who is nobody's parent; None if the tree has a cycle.
 
     It is the number of paths upwards, generation by generation: a row for each person and generation.
     """
@@ -180,6 +184,8 @@ def most_ancestors(parents_: DataFrame) -> DataFrame:
         at = checkpoint(at)
         if at.isEmpty():
             break
+        if len(rounds) == DEEP and has_cycle(parents_):
+            return None
         rounds.append(at)
         at = links.join(at, F.col("parent_id") == F.col("id")).groupBy(F.col("child_id").alias("id")).agg(F.sum("paths").alias("paths"))
     young = parents_.select("id", "seq").join(links.select(F.col("parent_id").alias("id")), "id", "left_anti")
@@ -198,9 +204,10 @@ def pick_root(parents_: DataFrame, candidates: int = 64) -> DataFrame:
     if parents_.isEmpty():
         raise ValueError("no individuals in the tree")
     best = lambda counts: counts.orderBy(F.col("ancestors").desc(), "seq").limit(1).select(F.col("id").alias("root_id"), "ancestors", "seq")
-    if has_cycle(parents_):
+    bounds = most_ancestors(parents_)
+    if bounds is None:
         return best(ancestor_counts(parents_)).drop("seq")
-    bounds = checkpoint(most_ancestors(parents_))
+    bounds = checkpoint(bounds)
     while True:
         top = checkpoint(bounds.orderBy(F.col("most").desc(), "seq").limit(candidates))
         found = checkpoint(best(ancestor_counts(parents_, top)))
