@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 SPACE = r"\x20\x09-\x0D"
 #: How the folders of tables that are written on the way begin.
 WRITTEN = "kinweave-"
+#: Those folders that this process has written and not deleted.
+_own: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,20 +44,24 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """As ``checkpoint``, in Parquet: smaller for long texts, and columns that are not read cost nothing."""
+def written_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """As ``checkpoint``, in Parquet: smaller for long texts, and columns that are not read cost nothing. And the folder."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{WRITTEN}{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    _own.add(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def written(df: DataFrame) -> DataFrame:
+    return written_at(df)[0]
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes the files of a table that ``written`` wrote, and no others; what was worked out from it must be written by then."""
-    folders = {x.rpartition("/")[0] for x in df.inputFiles()}
-    for folder in folders:
-        if folder.rpartition("/")[2].startswith(WRITTEN):
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def forget(spark: SparkSession, path: str | None) -> None:
+    """Deletes a folder that ``written_at`` gave in this session, and nothing else; what was worked out from it must be written by then."""
+    if path in _own:
+        _own.remove(path)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 #: Rows of a table of row numbers that may be broadcast (8 MB of numbers).
@@ -117,6 +123,18 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def whole_id() -> list[Column]:
+    """doc_id without nulls, and no_id where it was null: pandas keeps a column of numbers with nulls as floats, which
+    don't hold all of 64 bits."""
+    doc_id = F.col("doc_id").cast("long")
+    return [F.coalesce(doc_id, F.lit(0)).cast("long").alias("doc_id"), doc_id.isNull().alias("no_id")]
+
+
+def named_id(rows: DataFrame) -> DataFrame:
+    """Undoes ``whole_id``."""
+    return rows.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the fold that nothing is learned from; a null id counts as an empty string, so it is held out."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0

@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import exact_dedup, language, media, mixing, packing, simhash, token_shards, tokens, toxicity, url_filter
+from kinweave.llm import byte_bpe, exact_dedup, infill, language, lexical, media, mixing, packing, simhash, token_shards, tokens, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,12 +60,28 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(infill.transform(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_media, op3_exact_dedup, op4_token_counts, op5_simhash, op6_mixing, op7_toxicity, op8_token_shards, op9_packing, op10_url_filter)}
+    every = (
+        op1_language_id, op2_media, op3_exact_dedup, op4_token_counts, op5_simhash, op6_mixing, op7_toxicity, op8_token_shards, op9_packing, op10_url_filter,
+        op11_lexical_search, op12_byte_bpe, op13_fill_in_middle,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": EXACT_SQL, "op10_url_filter": url_sql()}
+    return {"op3_exact_dedup": EXACT_SQL, "op10_url_filter": url_sql(), "op11_lexical_search": search_sql(), "op13_fill_in_middle": INFILL_SQL}
 
 
 EXACT_SQL = r"""
@@ -121,3 +137,38 @@ pure AS (SELECT a.host, a.template, (sum(a.blocked) + {settings.strength} * leas
 SELECT s.page_id, s.host, s.path, s.rule, coalesce(s.by_rule, CASE WHEN pure.purity >= {settings.reject} THEN 'block' ELSE 'allow' END) AS verdict
 FROM shaped s JOIN tree a USING (host, parts) JOIN pure ON pure.host = a.host AND pure.template = a.template
 """
+
+
+def search_sql(top: int = lexical.TOP) -> str:
+    """The scores of all documents for all items; the divisions are of whole numbers that aren't negative."""
+    terms = lambda text: rf"regexp_extract_all(translate({text}, '{url_filter.UPPER}', '{url_filter.LOWER}'), '[^\x{{00}}-\x{{2F}}\x{{3A}}-\x{{40}}\x{{5B}}-\x{{60}}\x{{7B}}-\x{{7F}}]+')"
+    return f"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {terms("coalesce(text, '')")} AS own FROM documents),
+items AS MATERIALIZED (SELECT item_id, list_distinct({terms("coalesce(text, '')")}) AS own FROM benchmark),
+size AS (SELECT count(*) AS total_n, sum(len(own))::BIGINT AS total_l FROM docs WHERE len(own) > 0),
+norm AS (SELECT r, doc_id, 50 + (50 * len(own) * total_n) // total_l AS m FROM docs, size WHERE len(own) > 0),
+wanted AS (SELECT item_id, unnest(own) AS term FROM items),
+posting AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(own) AS term FROM docs) WHERE term IN (SELECT term FROM wanted) GROUP BY r, term),
+weight AS (SELECT term, floor(1000 * ln((2 * total_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM posting, size GROUP BY term, total_n),
+score AS (SELECT q.item_id, n.r, n.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM wanted q JOIN weight USING (term) JOIN posting p USING (term) JOIN norm n ON n.r = p.r GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM score WHERE score > 0 QUALIFY rank <= {top}
+"""
+
+
+INFILL_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents
+), d AS (
+  SELECT *, len(u)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM t
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d
+), p AS (
+  SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS prefix, coalesce(array_to_string(u[a + 1:b], ''), '') AS middle, coalesce(array_to_string(u[b + 1:n], ''), '') AS suffix FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256 FROM p
+"""

@@ -70,16 +70,33 @@ def test_empty_tables(spark, tmp_path):
 
 def test_what_is_not_needed_goes(spark, tmp_path):
     """Only tables that were written on the way are deleted."""
-    one = common.written(spark.range(5))
-    spark.range(3).write.parquet(f"{tmp_path}/own")
-    own = spark.read.parquet(f"{tmp_path}/own")
+    one, path = common.written_at(spark.range(5))
+    own = f"{tmp_path}/{common.WRITTEN}own"
+    spark.range(3).write.parquet(own)
     folder = Path(one.inputFiles()[0].removeprefix("file:")).parent
     assert folder.is_dir()
-    common.forget(one)
-    common.forget(own)
-    assert not folder.exists() and own.count() == 3
+    common.forget(spark, path)
+    common.forget(spark, own)
+    assert not folder.exists() and spark.read.parquet(own).count() == 3
 
 
 def test_registered():
     names = list(queries.queries())
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and set(queries.oracle_sql()) <= set(names)
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14)) and set(queries.oracle_sql()) <= set(names)
+
+
+def test_only_what_run_wrote_is_deleted(spark, tmp_path, monkeypatch):
+    """Input in single files in a folder named like those of the run stays; of the tables on the way only the last is left."""
+    data, shared = tmp_path / "kinweave-data", tmp_path / "shared"
+    data.mkdir()
+    for name, rows, schema in (("documents", [(i, f"one two three {i} five six", "en", "s", 9) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long"), ("labels", [(i, 0, i % 2) for i in range(20)], "doc_id long, quality int, toxic int")):
+        spark.createDataFrame(rows, schema).toPandas().to_parquet(data / f"{name}.parquet", index=False)
+    before = {p.name: p.stat().st_size for p in data.iterdir()}
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{shared}")
+    corpus_pipeline.run(spark, str(data)).count()
+    assert {p.name: p.stat().st_size for p in data.iterdir()} == before
+    left = [p for p in shared.iterdir() if "source" in spark.read.parquet(str(p)).columns and "text" in spark.read.parquet(str(p)).columns]
+    assert len(left) == 1
+    common.forget(spark, str(data))
+    common.forget(spark, None)
+    assert {p.name for p in data.iterdir()} == set(before)
