@@ -172,6 +172,67 @@ def feistel(index: np.ndarray, domain: np.ndarray, key: np.ndarray, rounds: int
     return out
 
 
+def unfeistel(value: np.ndarray, domain: np.ndarray, key: np.ndarray, rounds: int = 5) -> np.ndarray:
+    """What ``feistel`` sends to each value."""
+    out, domain, key = (np.asarray(x).astype(np.uint64).copy() for x in (value, domain, key))
+    half = np.ones(len(domain), np.uint64)
+    while (small := (np.uint64(1) << (np.uint64(2) * half)) < domain).any():
+        half[small] += np.uint64(1)
+    low, todo = (np.uint64(1) << half) - np.uint64(1), np.arange(len(out))
+    with np.errstate(over="ignore"):
+        while len(todo):
+            h, m, k = half[todo], low[todo], key[todo]
+            left, right = out[todo] >> h, out[todo] & m
+            for r in reversed(range(rounds)):
+                left, right = right ^ (mix64(left + k * np.uint64(0x9E3779B97F4A7C15) + np.uint64(r + 1) * np.uint64(0xD1342543DE82EF95)) & m), left
+            out[todo] = (left << h) | right
+            todo = todo[out[todo] >= domain[todo]]
+    return out
+
+
+#: Rows, on average and at most, whose places one task works out.
+BUCKET_ROWS = 2048
+
+
+def places(rows: DataFrame, by: list[str], alike: list[str], size: Column, row: str, name: str) -> DataFrame:
+    """``rows`` with column ``name``: the sizes of the rows of the same ``by`` before it, summed.
+
+    The order is that of hashed buckets of the columns ``alike``, then of these columns; rows that are the same in them (and
+    so in ``size``) stand in any order, told apart by ``row``. Sums go over different rows within a bucket, then over the
+    buckets, so no value of ``by`` is a task of its own; many rows alike are numbered in parts, which have their counts.
+    """
+    key = [*by, *alike]
+    buckets = max(1, -(-rows.count() // BUCKET_ROWS))
+    groups = rows.groupBy(*key).agg(F.count("*").alias("n_alike"))
+    groups = groups.withColumns({"bucket": F.pmod(F.xxhash64(*alike), F.lit(buckets)), "width": F.col("n_alike") * size})
+    sums = groups.groupBy(*by, "bucket").agg(F.sum("width").alias("bucket_width"))
+    ahead = lambda x, of: F.coalesce(F.sum(x).over(of.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumn("bucket_start", ahead("bucket_width", Window.partitionBy(*by).orderBy("bucket")))
+    sums = sums.select("bucket_start", F.col("bucket").alias("of_bucket"), *[F.col(k).alias(f"of_{k}") for k in by])
+    inside = F.col("bucket") == F.col("of_bucket")
+    for k in by:
+        inside = inside & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+    groups = groups.withColumn("within", ahead("width", Window.partitionBy(*by, "bucket").orderBy(*alike))).join(sums, inside).drop(*[f"of_{k}" for k in by])
+    groups = checkpoint(groups.select(*[F.col(k).alias(f"of_{k}") for k in key], "n_alike", (F.col("within") + F.col("bucket_start")).alias("group_start"), F.xxhash64(*key, F.lit(1)).alias("group_hash")))
+    same = F.xxhash64(*key, F.lit(1)) == F.col("group_hash")
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+    parts = F.ceil(F.col("n_alike") / BUCKET_ROWS)
+    held = rows.join(groups, same).drop(*[f"of_{k}" for k in key])
+    held = held.withColumn("part", F.when(parts > 1, F.pmod(F.xxhash64(row), parts)).otherwise(0))
+    held = held.withColumn("turn", F.row_number().over(Window.partitionBy("group_hash", *key, "part").orderBy(row)) - 1)
+    if not groups.filter(parts > 1).isEmpty():
+        held = checkpoint(held)
+        counts = held.filter(parts > 1).groupBy("group_hash", *key, "part").agg(F.count("*").alias("n_part"))
+        counts = counts.withColumn("before", ahead("n_part", Window.partitionBy("group_hash", *key).orderBy("part")))
+        counts = checkpoint(counts.select(F.xxhash64("group_hash", "part").alias("part_hash"), F.col("group_hash").alias("of_group"), F.col("part").alias("of_part"), *[F.col(k).alias(f"of_{k}") for k in key], "before"))
+        same = (F.xxhash64("group_hash", "part") == F.col("part_hash")) & (F.col("group_hash") == F.col("of_group")) & (F.col("part") == F.col("of_part"))
+        for k in key:
+            same = same & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+        held = held.join(counts, same, "left").withColumn("turn", F.col("turn") + F.coalesce("before", F.lit(0)))
+    return held.select(*rows.columns, (F.col("group_start") + F.col("turn") * size).alias(name))
+
+
 def runs(weights: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Cuts a list into stretches (begin, end) of total weight at most ``most``, one element at least."""
     begin = total = 0

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import SPACE, checkpoint, numbered, row_number, text_of, without
+from kinweave.llm.common import SPACE, checkpoint, numbered, rekeyed, row_number, text_of, without
 
 #: Rows of one index shard, and of one lookup task's group, on average and at most.
 SHARD_DIGESTS, LOOKUP_ROWS = 1024, 2048
@@ -139,8 +139,8 @@ def look_up(rows: DataFrame, index: DataFrame, shards: int) -> DataFrame:
     A shard with many rows (a hot digest) is looked up in several groups of rows, each with its own copy of the shard.
     """
     rows = rows.withColumn("shard", _shard(shards))
-    parts = rows.groupBy("shard").agg(F.ceil(F.count("*") / LOOKUP_ROWS).cast("long").alias("parts"))
-    dealt = rows.join(parts, "shard").withColumn("part", F.pmod("row_id", "parts")).drop("parts")
+    parts = rekeyed(rows.groupBy("shard").agg(F.ceil(F.count("*") / LOOKUP_ROWS).cast("long").alias("parts")), "shard")
+    dealt = rows.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("row_id"), F.col("parts"))).drop("parts")
     copies = index.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
     return dealt.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInPandas(_look_up, FOUND)
 

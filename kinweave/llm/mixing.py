@@ -8,15 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from kinweave.llm.common import SPACE, checkpoint, feistel, numbered, row_number, text_of
+from kinweave.llm.common import SPACE, checkpoint, feistel, numbered, places, row_number, text_of, unfeistel
 
-#: Words of a block, documents of a bucket (whose starts are summed in one task), slots of a shard at least, shards at most.
-BLOCK, BUCKET_ROWS, SHARD_SLOTS, MOST_SHARDS = 64, 2048, 4096, 65_536
+#: Words of a block, slots of a shard at least, shards at most.
+BLOCK, SHARD_SLOTS, MOST_SHARDS = 64, 4096, 65_536
 WEIGHTS, SHARE, MOST_REPEATS, SEED = (5, 2, 1), 1.5, 2, 42
-#: Blocks up to which a source ends on its target to the word; beyond, within half a block.
-EXACT_BLOCKS = 4096
 
 
 def targets(sizes: dict[str | None, int], weights=WEIGHTS, share=SHARE, most=MOST_REPEATS) -> dict[str | None, float]:
@@ -61,37 +58,37 @@ def draw(slots: np.ndarray, seed: int = SEED) -> pd.DataFrame:
 
 
 def starts(base: DataFrame) -> DataFrame:
-    """Adds ``start``: words of the same source before the row, in the order of hashed buckets.
+    """Adds ``start``: words of the same source before the row, in an order that follows from ids and sizes."""
+    return places(base, ["source_no"], ["doc_id", "size"], F.col("size"), "row_id", "start")
 
-    Sums within a bucket, then over the buckets of a source, so a hot source is spread over its buckets.
-    """
-    buckets = max(1, -(-base.count() // BUCKET_ROWS))
-    base = base.withColumn("bucket", F.pmod(F.xxhash64(F.col("doc_id"), F.col("size")), F.lit(buckets)))
-    sums = base.groupBy("source_no", "bucket").agg(F.sum("size").alias("bucket_size"))
-    before = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("source_no", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("bucket_start"))
-    within = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "size", "row_id").rowsBetween(Window.unboundedPreceding, -1)
-    base = base.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return base.join(sums, ["source_no", "bucket"]).withColumn("start", F.col("within") + F.col("bucket_start")).drop("within", "bucket_start", "bucket")
+
+def _key_of(source_no, pass_) -> np.ndarray:
+    return SEED + 1_000_003 * np.asarray(source_no) + 7 * np.asarray(pass_)
 
 
 def _block_of(k: np.ndarray, blocks: np.ndarray, source_no: np.ndarray) -> np.ndarray:
     """The block of a source's k-th slot, by the source's pseudorandom permutation of its blocks, a new one for each pass."""
-    return feistel(k % blocks, blocks, SEED + 1_000_003 * source_no + 7 * (k // blocks)).astype(np.int64)
+    return feistel(k % blocks, blocks, _key_of(source_no, k // blocks)).astype(np.int64)
 
 
 def slots_of(source_no: int, size: int, target: float, block: int) -> tuple[int, int]:
-    """Slots that a source of ``size`` words gets, and how many words of its last slot's block are taken."""
+    """Slots that a source of ``size`` words gets, and how many words of its last slot's block are taken.
+
+    All blocks are full but the last one, which may be short. Where that one comes in each pass follows from the inverse
+    of the pass's permutation, so slots end on the target to the word, whatever the size.
+    """
     blocks, want = -(-size // block), round(target)
-    if blocks > EXACT_BLOCKS:
-        return min(MOST_REPEATS * blocks, round(target * blocks / size)), block
     if not blocks or not want:
         return 0, 0
-    k = np.arange(MOST_REPEATS * blocks)
-    at = _block_of(k, np.full(len(k), blocks), np.full(len(k), source_no))
-    ends = np.cumsum(np.where(at == blocks - 1, size - (blocks - 1) * block, block))
-    last = int(np.searchsorted(ends, want))
-    return last + 1, want - (int(ends[last - 1]) if last else 0)
+    passes = np.arange(MOST_REPEATS)
+    at = unfeistel(np.full(MOST_REPEATS, blocks - 1), np.full(MOST_REPEATS, blocks), _key_of(source_no, passes)).astype(np.int64)
+    lacking = blocks * block - size
+    short = sorted(int(p * blocks + i) for p, i in enumerate(at))
+    words = lambda slots: slots * block - lacking * sum(i < slots for i in short)
+    slots = max(1, want // block)
+    while words(slots) < want:
+        slots += 1
+    return slots, want - words(slots - 1)
 
 
 def _map_slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

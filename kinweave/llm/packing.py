@@ -9,12 +9,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from kinweave.llm.common import checkpoint, runs, text_of, written
+from kinweave.llm.common import checkpoint, places, runs, text_of, written
 from kinweave.llm.tokens import default_path, word_encoder
 
-CAPACITY, END_ID, BUCKET_ROWS = 4096, 2, 2048
+CAPACITY, END_ID = 4096, 2
 #: Code points of texts that are encoded at once.
 BATCH = 524_288
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -123,21 +122,14 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
 
     Documents longer than a window fill whole windows; what remains of each is packed. Only the histogram of lengths,
     of ``capacity`` entries at most, goes to the driver, and the plan, of as many patterns at most, to the executors.
-    Pieces of a length are numbered in buckets, so that a length that a third of the documents have is numbered in
-    many tasks. A null or empty text is the end id alone; null ids and repeated rows are packed like others; an empty
+    Pieces of a length are numbered in buckets (``places``), so that a length, or a piece, that a third of the documents
+    have is numbered in many tasks. A null or empty text is the end id alone; null ids and repeated rows are packed like others; an empty
     table gives no rows.
     """
-    made = pieces(docs, path, capacity, end_id, with_ids)
+    made = pieces(docs, path, capacity, end_id, with_ids).withColumn("row_id", F.monotonically_increasing_id())
     made = written(made) if with_ids else checkpoint(made)
     counted = {r["length"]: r["count"] for r in made.groupBy("length").count().collect()}
-    buckets = max(1, -(-sum(counted.values()) // BUCKET_ROWS))
-    made = made.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
-    sums = made.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")
-    ranked = made.withColumn("number", F.row_number().over(within)).join(sums, ["length", "bucket"])
-    ranked = ranked.withColumn("rank", F.col("base") + F.col("number") - 1).drop("bucket", "base", "number")
+    ranked = places(made, ["length"], ["doc_id", "start", "ids_crc32"], F.lit(1), "row_id", "rank").drop("row_id")
     shared = docs.sparkSession.sparkContext.broadcast(_stretches(plan(counted, capacity)))
     schema = PIECE + ", ids binary" * with_ids + ", sequence_id long, offset long"
     return ranked.mapInPandas(_placer(shared, [x.split()[0] for x in schema.split(", ")]), schema)

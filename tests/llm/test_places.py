@@ -1,0 +1,69 @@
+"""Places of rows in an order that follows from their values, hot keys included."""
+
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from kinweave.llm import common, exact_dedup, mixing
+
+
+def test_places(spark, monkeypatch):
+    """Starts are the sums of some order of the rows; each group's rows fill its stretch; reruns give each kind of row the same places."""
+    monkeypatch.setattr(common, "BUCKET_ROWS", 16)
+    rng = random.Random(3)
+    rows = [(i, rng.choice("ab"), rng.choice([None, 1, 2, i]), rng.randrange(4)) for i in range(500)]
+    rows += [(1000 + i, "a", None, 3) for i in range(300)] + [(2000 + i, None, 7, 2) for i in range(50)]
+    schema = "row_id long, source string, doc_id long, size long"
+    seen = []
+    for parts in (3, 7):
+        frame = spark.createDataFrame(rows, schema).repartition(parts).withColumn("row_id", F.monotonically_increasing_id())
+        found = common.places(common.checkpoint(frame), ["source"], ["doc_id", "size"], F.col("size"), "row_id", "start").collect()
+        assert len(found) == len(rows) and found[0].asDict().keys() == {"row_id", "source", "doc_id", "size", "start"}
+        for source in {r["source"] for r in found}:
+            own = sorted((r["start"], r["size"]) for r in found if r["source"] == source and r["size"])
+            assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:], strict=False))
+        seen.append(sorted(((r["source"], r["doc_id"], r["size"], r["start"]) for r in found if r["size"]), key=repr))
+    assert seen[0] == seen[1]
+
+
+def test_many_rows_alike_are_spread(spark):
+    """Two thirds of the rows are alike: no part of them has over twice the rows of a bucket."""
+    n = 30_000
+    frame = spark.range(n).select(F.col("id").alias("row_id"), F.lit("s").alias("source"), F.when(F.col("id") % 3 == 0, F.col("id")).alias("doc_id"), F.lit(5).cast("long").alias("size"))
+    found = common.places(frame, ["source"], ["doc_id", "size"], F.col("size"), "row_id", "start")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.agg(F.count_distinct("start"), F.max("start")).first() == (n, 5 * (n - 1)) and "of_group" in plan
+
+
+def test_a_hot_digest_is_looked_up_in_parts(spark):
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
+    rows = exact_dedup.digests(docs, "doc_id").withColumn("row_id", F.col("row_id") * 8)
+    found = exact_dedup.look_up(rows, exact_dedup.build_index(rows, 4), 4)
+    assert found.filter("member").count() == 12_000 and found.agg(F.max("group_size")).first()[0] == 8000
+
+
+def test_the_last_slot_as_by_walking_all():
+    """Slots and the words of the last one, against the permutation walked from its start, short last blocks included."""
+    rng = random.Random(8)
+    for _ in range(300):
+        block = rng.choice([1, 4, 7])
+        size = rng.randrange(1, 300)
+        target, source = rng.uniform(0, 2 * size), rng.randrange(9)
+        blocks, want = -(-size // block), round(target)
+        k = np.arange(2 * blocks)
+        at = mixing._block_of(k, np.full(len(k), blocks), np.full(len(k), source))
+        assert sorted(at[:blocks]) == sorted(at[blocks:]) == list(range(blocks))
+        ends = np.cumsum(np.where(at == blocks - 1, size - (blocks - 1) * block, block))
+        last = int(np.searchsorted(ends, want))
+        assert mixing.slots_of(source, size, target, block) == ((last + 1, want - (int(ends[last - 1]) if last else 0)) if want else (0, 0))
+    slots, cut = mixing.slots_of(3, 10**12 + 17, 1.5e12 + 0.2, 64)
+    assert 0 < cut <= 64 and abs(slots * 64 - 1.5e12) < 300
+
+
+def test_unfeistel():
+    rng = np.random.default_rng(2)
+    for domain in (1, 2, 5, 64, 1000, 10**12 + 3):
+        x = rng.integers(0, domain, 50).astype(np.uint64)
+        d, key = np.full(50, domain, np.uint64), rng.integers(0, 99, 50).astype(np.uint64)
+        assert (common.unfeistel(common.feistel(x, d, key), d, key) == x).all()
