@@ -90,6 +90,20 @@ def coverage_all_roots(spark, sf_dir):
     return own.join(lost, "root_id", "left").select("root_id", "persons", "leaf_weight", F.coalesce("gap_weight", F.lit(0.0)).alias("gap_weight"))
 
 
+def coverage_looped_roots(spark, sf_dir):
+    """The same over a tree with cycles: what closes one is a gap, and only people on cycles keep what their paths have met."""
+    parents = pedigree.checkpoint(_parents(derived.looped(derived.people(spark, sf_dir))))
+    walked = pedigree.build(parents, parents.select(F.col("id").alias("root_id")), GENERATIONS, "pooled")
+    own = walked.nodes.groupBy("root_id").agg(F.count("*").alias("persons"), F.sum("times_reached").alias("visits"), F.sum("leaf_weight").alias("leaf_weight"))
+    lost = walked.gaps.groupBy("root_id").agg(F.sum("contribution_weight").alias("gap_weight"))
+    return own.join(lost, "root_id", "left").select("root_id", "persons", "visits", "leaf_weight", F.coalesce("gap_weight", F.lit(0.0)).alias("gap_weight"))
+
+
+def looped_closure_counts(spark, sf_dir):
+    """Ancestors of everybody in a tree with cycles; whoever is on one is an own ancestor."""
+    return pedigree.ancestor_counts(_parents(derived.looped(derived.people(spark, sf_dir)))).select("id", "ancestors")
+
+
 def ancestor_closure_counts(spark, sf_dir):
     return pedigree.ancestor_counts(_parents(derived.people(spark, sf_dir))).select("id", "ancestors")
 
@@ -134,6 +148,19 @@ def snapshot_asof(spark, sf_dir):
     return R.snapshot_year(_keys(spark, sf_dir).filter("year is not null").select("id", "year"), reference.polities(spark))
 
 
+def snapshot_asof_many(spark, sf_dir):
+    """Every customer's number of days among snapshots at the numbers of every fifth customer."""
+    people = derived.people(spark, sf_dir)
+    held = people.filter("k % 5 = 2").select((F.col("k") * 104_729 % 1_000_003).cast("int").alias("snapshot"))
+    return R.as_of(people.select("id", (F.col("k") * 7919 % 1_000_003 - 5).cast("int").alias("day")), held, "day", "snapshot")
+
+
+def country_in_coasts(spark, sf_dir):
+    """Points in rings of a third of all customers each."""
+    people = derived.people(spark, sf_dir)
+    return R.country_at(people.filter("lat is not null").select("id", "lat", "lng"), derived.coasts(people)).select("id", "point_country")
+
+
 def temporal_pip(spark, sf_dir):
     keys = _keys(spark, sf_dir).filter("lat is not null and year is not null").select("id", "year", "lat", "lng")
     return R.polity_at(keys, reference.polities(spark), "lat", "lng").select("id", "polity.subjecto", "polity.part_of", "polity.snapshot_year")
@@ -291,7 +318,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         parent_edges, pedigree_nodes, person_lookup, pedigree_gaps, pedigree_cycle, pedigree_links, pedigree_counts, coverage_budget, coverage_all_roots,
         ancestor_closure_counts, pick_root, fractional_shares, headcount_shares, place_variants, stub_resolve, geocode_first_token, canonical_country,
-        snapshot_asof, temporal_pip, country_at_point, country_in_rings, coord_contradiction, ancient_rule, historical_resolve, parse_gdate, parse_coords, parse_names,
+        coverage_looped_roots, looped_closure_counts, snapshot_asof, snapshot_asof_many, temporal_pip, country_at_point, country_in_rings, country_in_coasts, coord_contradiction, ancient_rule, historical_resolve, parse_gdate, parse_coords, parse_names,
         gedcom_individuals, gedcom_families, gedcom_parents, display_names, first_birth, depth_filter, placed_filter, spread_overlaps, map_points,
         migration_arcs, isolate_arcs, isolate_points, great_circle, unresolved_top10, deepest_generation, slider_ceiling, top_shares_with_rest,
         coverage_hundred_pct, share_labels, range_select, variants_of_people,

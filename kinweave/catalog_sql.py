@@ -107,6 +107,12 @@ def _shapes() -> str:
 
 def oracle_sql() -> dict[str, str]:
     cyclic = _tables()["ppl"].replace("SELECT *, k AS id", "SELECT * REPLACE (CASE WHEN id = 1 THEN 0 ELSE father END AS father) FROM (SELECT *, k AS id") + ")"
+    looped = _tables()["ppl"].replace("SELECT *, k AS id", "SELECT * REPLACE (CASE WHEN id % 256 = 7 THEN id // 4 ELSE father END AS father) FROM (SELECT *, k AS id") + ")"
+    guarded = "SELECT id AS root_id, id, 0 AS depth, 1.0::DOUBLE AS w, [id] AS path FROM ppl UNION ALL SELECT v.root_id, e.parent_id, v.depth + 1, v.w / 2, list_append(v.path, e.parent_id) FROM allv v JOIN edge e ON e.child_id = v.id WHERE v.depth < 8 AND NOT list_contains(v.path, e.parent_id)"
+    lost = " + ".join(f"CASE WHEN NOT ends AND ({p} IS NULL OR list_contains(path, {p})) THEN w / 2 ELSE 0 END" for p in ("father", "mother"))
+    top = "(k * 7919 % 997)::DOUBLE / 997 * 30 + k % 3 * 25 - 40"
+    corner = f"SELECT (k % 3)::INT AS ord, k // 3 AS j, (k // 3)::DOUBLE / (n // 3 + 1) * 350 - 175 AS x, {top} AS y FROM ppl"
+    coast = "SELECT ord, x AS x1, y AS y1, lead(x) OVER o AS x2, lead(y) OVER o AS y2 FROM (SELECT ord, j, x, y FROM corner UNION ALL SELECT DISTINCT ord, -1, -175::DOUBLE, -85::DOUBLE FROM corner UNION ALL SELECT DISTINCT ord, 1000000000, 175::DOUBLE, -85::DOUBLE FROM corner UNION ALL SELECT DISTINCT ord, 1000000001, -175::DOUBLE, -85::DOUBLE FROM corner) WINDOW o AS (PARTITION BY ord ORDER BY j)"
     stub = _values((k, v, ref.CULTURE.get(v)) for k, v in ref.STUB.items())
     coords = r"^([NSEWnsew])?\s*(-?[0-9]+(?:\.[0-9]+)?)$"
     side, number = f"upper(regexp_extract(raw, '{coords}', 1))", f"TRY_CAST(regexp_extract(raw, '{coords}', 2) AS DOUBLE)"
@@ -123,6 +129,10 @@ def oracle_sql() -> dict[str, str]:
         "pedigree_counts": _with(*WALK, body="SELECT count(*) AS nodes, count(*) FILTER (is_leaf) AS leaves, (SELECT count(*) FROM gap) AS gaps, count(*) FILTER (times_reached > 1) AS collapsed FROM node"),
         "coverage_budget": _with(*NODES, "cov", body="SELECT * FROM cov"),
         "coverage_all_roots": _with("ppl", "edge", "allv", "alls", body="SELECT root_id, count(DISTINCT id) AS persons, sum(CASE WHEN ends THEN w ELSE 0 END) AS leaf_weight, sum(CASE WHEN NOT ends AND father IS NULL THEN w / 2 ELSE 0 END + CASE WHEN NOT ends AND mother IS NULL THEN w / 2 ELSE 0 END) AS gap_weight FROM alls GROUP BY root_id"),
+        "coverage_looped_roots": _with("ppl", "edge", "allv", "alls", body=f"SELECT root_id, count(DISTINCT id) AS persons, count(*) AS visits, sum(CASE WHEN ends THEN w ELSE 0 END) AS leaf_weight, sum({lost}) AS gap_weight FROM alls GROUP BY root_id", ppl=looped, allv=guarded),
+        "looped_closure_counts": _with("ppl", "edge", "clos", body="SELECT p.id, count(c.ancestor_id) AS ancestors FROM ppl p LEFT JOIN clos c USING (id) GROUP BY p.id", ppl=looped),
+        "snapshot_asof_many": "WITH s AS (SELECT DISTINCT (c_custkey * 104729 % 1000003)::INT AS snapshot FROM customer WHERE c_custkey % 5 = 2), d AS (SELECT c_custkey AS id, (c_custkey * 7919 % 1000003 - 5)::INT AS day FROM customer) SELECT id, day, coalesce(s.snapshot, (SELECT min(snapshot) FROM s)) AS snapshot FROM d ASOF LEFT JOIN s ON d.day >= s.snapshot",
+        "country_in_coasts": _with("ppl", "corner", "side", "held", body="SELECT p.id, 'Coast ' || min(h.ord) AS point_country FROM ppl p LEFT JOIN held h ON h.id = p.id WHERE p.lat IS NOT NULL GROUP BY p.id", corner=corner, side=coast, held="SELECT p.id, s.ord FROM ppl p JOIN side s ON (s.y1 > p.lat) <> (s.y2 > p.lat) AND p.lng < (s.x2 - s.x1) * (p.lat - s.y1) / (s.y2 - s.y1) + s.x1 WHERE p.lat IS NOT NULL GROUP BY p.id, s.ord HAVING count(*) % 2 = 1"),
         "ancestor_closure_counts": _with("ppl", "edge", "clos", body="SELECT p.id, count(c.ancestor_id) AS ancestors FROM ppl p LEFT JOIN clos c USING (id) GROUP BY p.id"),
         "pick_root": _with("ppl", "edge", "clos", body="SELECT p.id AS root_id, count(c.ancestor_id) AS ancestors FROM ppl p LEFT JOIN clos c USING (id) GROUP BY p.id ORDER BY 2 DESC, 1 LIMIT 1"),
         "fractional_shares": _with(*NODES, "reg", "frac", body="SELECT * FROM frac"),

@@ -26,20 +26,47 @@ def blank_to_null(x: Column | str) -> Column:
     return F.nullif(col(x), F.lit(""))
 
 
+#: The parts of Hangul syllables, from the first of each kind, and how many there are of each.
+HANGUL, LEADS, VOWELS, TAILS = 0xAC00, (0x1100, 19), (0x1161, 21), (0x11A7, 28)
+
+
+def _bare(letter: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", letter) if not 0x300 <= ord(c) <= 0x36F)
+
+
 @cache
-def _folding() -> tuple[str, str]:
-    """Letters below U+2000 whose decomposition is one letter and marks, and those letters."""
-    pairs = []
-    for code in range(0xC0, 0x2000):
-        rest = [c for c in unicodedata.normalize("NFD", chr(code)) if not 0x300 <= ord(c) <= 0x36F]
-        if len(rest) == 1 and rest[0] != chr(code):
-            pairs.append((chr(code), rest[0]))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def _folding() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """Letters whose decomposition is one letter and marks, and those letters; then the others but Hangul, with their parts."""
+    codes = [c for c in range(0xC0, 0x110000) if not (0xD800 <= c < 0xE000 or HANGUL <= c < HANGUL + 11_172 or 0x300 <= c <= 0x36F)]
+    pairs = [(chr(c), rest) for c in codes if (rest := _bare(chr(c))) != chr(c)]
+    single = [(a, b) for a, b in pairs if len(b) == 1]
+    return "".join(a for a, _ in single), "".join(b for _, b in single), tuple((a, b) for a, b in pairs if len(b) != 1)
+
+
+def _syllables(x: Column) -> Column:
+    """Hangul syllables as their parts, which follow from their number."""
+    lead, vowel, tail = ("".join(chr(first + i) for i in range(n)) for first, n in (LEADS, VOWELS, TAILS))
+
+    def parts(c: Column) -> Column:
+        n = F.ascii(c) - HANGUL
+        at = lambda letters, i: F.substr(F.lit(letters), i + 1, F.lit(1))
+        last = F.when(n % 28 > 0, at(tail, n % 28)).otherwise("")
+        made = F.concat(at(lead, F.floor(n / 588).cast("int")), at(vowel, F.floor(n % 588 / 28).cast("int")), last)
+        return F.when(n.between(0, 11_171), made).otherwise(c)
+
+    return F.array_join(F.transform(F.split(x, ""), parts), "")
 
 
 def strip_accents(x: Column | str) -> Column:
-    """Canonical decomposition without combining marks; letters that decompose to several letters stay."""
-    return F.regexp_replace(F.translate(col(x), *_folding()), MARKS, "")
+    """Canonical decomposition without combining marks of U+0300 to U+036F. Letters of several parts, and Hangul, are only
+    looked for in texts that have some; marks of other kinds keep their order."""
+    one, folded, several = _folding()
+    x = F.translate(col(x), one, folded)
+    parts = F.str_to_map(F.lit(",".join(f"{a}:{b}" for a, b in several)), F.lit(","), F.lit(":"))
+    more = F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(F.try_element_at(parts, c), c)), "")
+    x = F.when(x.rlike("[" + "".join(f"\\x{{{ord(a):x}}}" for a, _ in several) + "]"), more).otherwise(x)
+    x = F.when(x.rlike(f"[\\x{{{HANGUL:x}}}-\\x{{{HANGUL + 11_171:x}}}]"), _syllables(x)).otherwise(x)
+    return F.regexp_replace(x, MARKS, "")
 
 
 def norm_place(x: Column | str) -> Column:

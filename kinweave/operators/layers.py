@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from kinweave.functions.measures import cell, distance_km, spread_lat, spread_lng
+from kinweave.operators.keyed import free_names, ranked
 
 #: Least weight of an arc, of a long one, and from how many km on an arc is long.
 ARC_WEIGHT, LONG_WEIGHT, LONG_KM = 0.002, 0.0001, 1500
@@ -23,11 +23,14 @@ def placed(people: DataFrame) -> DataFrame:
 
 
 def spread_overlaps(people: DataFrame) -> DataFrame:
-    """People at one spot are moved apart on a spiral: the heaviest stays, the others step outwards by weight, then order of visit."""
-    rank = F.row_number().over(Window.partitionBy("root_id", cell("lat"), cell("lng")).orderBy(F.col("contribution_weight").desc(), "path_key")) - 1
-    ranked = people.withColumn("rank", rank)
-    moved = F.col("rank") > 0
-    return ranked.withColumns({"lng": F.when(moved, spread_lng("lat", "lng", "rank")).otherwise(F.col("lng")), "lat": F.when(moved, spread_lat("lat", "rank")).otherwise(F.col("lat"))}).drop("rank")
+    """People at one spot are moved apart on a spiral: the heaviest stays, the others step outwards by weight, then order of visit.
+
+    Ranks within a spot are given over ranges of its people, so a crowded one is no single task.
+    """
+    rank, = free_names(people, "rank")
+    rows = ranked(people, [F.col("root_id"), cell("lat"), cell("lng")], [(F.col("contribution_weight"), True), (F.col("path_key"), False)], rank)
+    moved = F.col(rank) > 0
+    return rows.withColumns({"lng": F.when(moved, spread_lng("lat", "lng", rank)).otherwise(F.col("lng")), "lat": F.when(moved, spread_lat("lat", rank)).otherwise(F.col("lat"))}).drop(rank)
 
 
 def to_points(people: DataFrame) -> DataFrame:

@@ -6,13 +6,14 @@ first, and F before M. Weights are powers of two and sum to at most 1, so sums a
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.operators.closure import Ancestors, core, cyclic
+from kinweave.operators.shared import checkpoint
+
 #: Visits that there can be, up to which all paths are walked at once by recursion (Spark ends one at a million rows);
 #: beyond, generation by generation.
 RECURSION_VISITS = 500_000
@@ -28,17 +29,6 @@ class Pedigree:
     links: DataFrame
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes to the folder that spark.checkpoint.dir names, which all machines share, and cuts the lineage."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="kinweave-"))
-    return df.checkpoint()
-
-
 def parents(individuals: DataFrame, families: DataFrame) -> DataFrame:
     """id, seq, father, mother: by each person's first family; a parent that is no individual is unknown."""
     known = individuals.select(F.col("id").alias("known_id"))
@@ -69,18 +59,39 @@ def _recursive(spark: SparkSession, roots: DataFrame, links: DataFrame, cap: int
     )
 
 
+def _guarded(links: DataFrame, pooled: bool) -> DataFrame:
+    """Links with same (child and parent are on cycles that belong together) and enters (the parent is on a cycle). Without
+    pooling everybody counts as being on one cycle, so whole paths are kept."""
+    if not pooled:
+        return links.withColumns({"same": F.lit(True), "enters": F.lit(True)})
+    found = checkpoint(cyclic(links))
+    if found.isEmpty():
+        return links.withColumns({"same": F.lit(False), "enters": F.lit(False)})
+    of = lambda end: found.select(F.col("id").alias(end), F.col("component").alias(f"{end}_of"))
+    held = links.join(of("child_id"), "child_id", "left").join(of("parent_id"), "parent_id", "left")
+    same = F.coalesce(F.col("child_id_of") == F.col("parent_id_of"), F.lit(False))
+    return checkpoint(held.select("child_id", "slot", "parent_id", same.alias("same"), F.col("parent_id_of").isNotNull().alias("enters"), F.col("child_id_of").isNotNull().alias("starts")))
+
+
 def _frontier(roots: DataFrame, links: DataFrame, cap: int, pooled: bool) -> DataFrame:
-    """Generation by generation, each written down. Pooled: a person's paths of one length are one row."""
+    """Generation by generation, each written down. Pooled: a person's paths of one length are one row, but on a cycle one
+    row for each set of people that paths have met on it. A path that has left a cycle never comes back to it, so nothing
+    before it matters to the guard."""
+    links = _guarded(links, pooled)
     at = roots.select("root_id", F.col("root_id").alias("id"), F.lit(0).alias("depth"), F.lit(1.0).alias("weight"), F.lit(1).cast("long").alias("visits"), F.array("root_id").alias("path"), F.lit("").alias("path_key"))
-    found = at = checkpoint(at.withColumn("path", F.col("path") if not pooled else F.lit(None).cast(at.schema["path"].dataType)))
+    if "starts" in links.columns:
+        inner = links.filter("starts").select(F.col("child_id").alias("on_cycle")).distinct()
+        at = at.join(inner, F.col("id") == F.col("on_cycle"), "left").withColumn("path", F.when(F.col("on_cycle").isNotNull(), F.col("path"))).drop("on_cycle")
+    elif pooled:
+        at = at.withColumn("path", F.lit(None).cast(at.schema["path"].dataType))
+    found = at = checkpoint(at)
     for depth in range(1, cap + 1):
-        up = at.join(links, at["id"] == links["child_id"])
-        if not pooled:
-            up = up.filter(~F.array_contains("path", F.col("parent_id")))
-        path = F.col("path") if pooled else F.array_append("path", F.col("parent_id"))
+        up = at.join(links, at["id"] == links["child_id"]).filter(~(F.col("same") & F.coalesce(F.array_contains("path", F.col("parent_id")), F.lit(False))))
+        longer = F.array_append("path", F.col("parent_id"))
+        path = F.when(F.col("same"), F.array_sort(longer) if pooled else longer).when(F.col("enters"), F.array("parent_id"))
         up = up.select("root_id", F.col("parent_id").alias("id"), F.lit(depth).alias("depth"), (F.col("weight") / 2).alias("weight"), "visits", path.alias("path"), F.concat("path_key", "slot").alias("path_key"))
         if pooled:
-            up = up.groupBy("root_id", "id", "depth").agg(F.sum("weight").alias("weight"), F.sum("visits").alias("visits"), F.first("path").alias("path"), F.min("path_key").alias("path_key"))
+            up = up.groupBy("root_id", "id", "depth", "path").agg(F.sum("weight").alias("weight"), F.sum("visits").alias("visits"), F.min("path_key").alias("path_key"))
         at = checkpoint(up)
         if at.isEmpty():
             break
@@ -89,26 +100,16 @@ def _frontier(roots: DataFrame, links: DataFrame, cap: int, pooled: bool) -> Dat
 
 
 def has_cycle(parents_: DataFrame) -> bool:
-    """Whether anyone is an own ancestor: people without known parents left are taken away, until none is or all are."""
-    links = checkpoint(edges(parents_).select("child_id", "parent_id").distinct())
-    n = links.count()
-    while n:
-        open_ = links.select(F.col("child_id").alias("parent_id")).distinct()
-        links = checkpoint(links.join(open_, "parent_id", "left_semi"))
-        left = links.count()
-        if left == n:
-            return True
-        n = left
-    return False
+    """Whether anyone is an own ancestor."""
+    return not core(edges(parents_)).isEmpty()
 
 
 def walk(parents_: DataFrame, roots: DataFrame, cap: int = 8, mode: str = "auto") -> DataFrame:
     """root_id, id, depth, weight, visits, path, path_key of visits from ``roots`` (root_id).
 
-    Modes: recursive (all paths at once), paths (one generation after the other), pooled (the same with paths merged;
-    right only without cycles, as the guard needs each path). auto takes recursion if there can't be many visits, by the
-    number of roots and generations, else pools if there is no cycle. A root that is no person of the tree raises
-    ValueError.
+    Modes: recursive (all paths at once), paths (one generation after the other), pooled (the same with paths merged, but
+    for what they have met of a cycle that they are on). auto takes recursion if there can't be many visits, by the number
+    of roots and generations, else pools. A root that is no person of the tree raises ValueError.
     """
     if cap < 0:
         raise ValueError("the number of generations is below 0")
@@ -118,7 +119,7 @@ def walk(parents_: DataFrame, roots: DataFrame, cap: int = 8, mode: str = "auto"
         raise ValueError(f"root {asked['lost']['root_id']} is not in the tree")
     if mode == "auto":
         few = cap < 64 and asked["n"] << (cap + 1) <= RECURSION_VISITS
-        mode = "recursive" if few else "paths" if has_cycle(parents_) else "pooled"
+        mode = "recursive" if few else "pooled"
     if mode == "recursive":
         return _recursive(parents_.sparkSession, roots, edges(parents_), cap)
     return _frontier(roots, edges(parents_), cap, mode == "pooled")
@@ -147,72 +148,22 @@ def build(parents_: DataFrame, roots: DataFrame, cap: int = 8, mode: str = "auto
     return Pedigree(nodes, gaps, links)
 
 
-def closure(parents_: DataFrame, of: DataFrame | None = None) -> DataFrame:
-    """id, ancestor_id of all ancestors at any depth, of the people in ``of`` (id) or of all.
-
-    Each round extends what the last one found and keeps what is new; rounds are written once and stay apart.
-    """
-    up = checkpoint(edges(parents_).select(F.col("child_id").alias("id"), F.col("parent_id").alias("ancestor_id")).distinct())
-    step = up.select(F.col("id").alias("via"), F.col("ancestor_id").alias("next"))
-    rounds = [up if of is None else checkpoint(up.join(of.select("id"), "id", "left_semi"))]
-    while not rounds[-1].isEmpty():
-        more = rounds[-1].join(step, F.col("ancestor_id") == F.col("via")).select("id", F.col("next").alias("ancestor_id")).distinct()
-        rounds.append(checkpoint(more.join(reduce(DataFrame.unionByName, rounds), ["id", "ancestor_id"], "left_anti")))
-    return reduce(DataFrame.unionByName, rounds)
+def closure(parents_: DataFrame) -> DataFrame:
+    """id, ancestor_id of all ancestors at any depth; whoever is on a cycle is an own ancestor."""
+    return Ancestors(parents_, edges(parents_)).pairs()
 
 
-def ancestor_counts(parents_: DataFrame, of: DataFrame | None = None) -> DataFrame:
-    """id, seq, ancestors (distinct, at any depth), of the people in ``of`` (id) or of all."""
-    counts = closure(parents_, of).groupBy("id").agg(F.count("*").alias("ancestors"))
-    people = parents_.select("id", "seq") if of is None else parents_.select("id", "seq").join(of.select("id"), "id", "left_semi")
-    return people.join(counts, "id", "left").select("id", "seq", F.coalesce("ancestors", F.lit(0)).cast("long").alias("ancestors"))
+def ancestor_counts(parents_: DataFrame) -> DataFrame:
+    """id, seq, ancestors (distinct, at any depth) of everybody."""
+    counts = Ancestors(parents_, edges(parents_)).counts()
+    return parents_.select("id", "seq").join(counts, "id", "left").select("id", "seq", F.coalesce("ancestors", F.lit(0)).cast("long").alias("ancestors"))
 
 
-#: Generations after which it is worth finding out whether a tree has a cycle.
-DEEP = 64
-
-
-def most_ancestors(parents_: DataFrame) -> DataFrame | None:
-    """id, seq, most: no fewer than the ancestors of each person who is nobody's parent; None if the tree has a cycle.
-
-    It is the number of paths upwards, generation by generation: a row for each person and generation.
-    """
-    links = checkpoint(edges(parents_).select("child_id", "parent_id"))
-    at = links.groupBy(F.col("child_id").alias("id")).agg(F.count("*").cast("double").alias("paths"))
-    rounds = []
-    while True:
-        at = checkpoint(at)
-        if at.isEmpty():
-            break
-        if len(rounds) == DEEP and has_cycle(parents_):
-            return None
-        rounds.append(at)
-        at = links.join(at, F.col("parent_id") == F.col("id")).groupBy(F.col("child_id").alias("id")).agg(F.sum("paths").alias("paths"))
-    young = parents_.select("id", "seq").join(links.select(F.col("parent_id").alias("id")), "id", "left_anti")
-    if not rounds:
-        return young.withColumn("most", F.lit(0.0))
-    sums = reduce(DataFrame.unionByName, rounds).groupBy("id").agg(F.sum("paths").alias("most"))
-    return young.join(sums, "id", "left").withColumn("most", F.coalesce("most", F.lit(0.0)))
-
-
-def pick_root(parents_: DataFrame, candidates: int = 64) -> DataFrame:
+def pick_root(parents_: DataFrame) -> DataFrame:
     """One row: the person with most ancestors, the first of the file on ties. An empty tree raises ValueError.
 
-    Without cycles only somebody who is nobody's parent can win. Those of the largest bounds are counted exactly, more
-    and more of them, until no bound of another one reaches the best count. With cycles all are counted.
+    Everybody's ancestors are counted exactly, as sets of bits, so collapse and cycles cost no more than other trees.
     """
     if parents_.isEmpty():
         raise ValueError("no individuals in the tree")
-    best = lambda counts: counts.orderBy(F.col("ancestors").desc(), "seq").limit(1).select(F.col("id").alias("root_id"), "ancestors", "seq")
-    bounds = most_ancestors(parents_)
-    if bounds is None:
-        return best(ancestor_counts(parents_)).drop("seq")
-    bounds = checkpoint(bounds)
-    while True:
-        top = checkpoint(bounds.orderBy(F.col("most").desc(), "seq").limit(candidates))
-        found = checkpoint(best(ancestor_counts(parents_, top)))
-        won = found.first()
-        open_ = bounds.filter((F.col("most") > won["ancestors"]) | ((F.col("most") == won["ancestors"]) & (F.col("seq") < won["seq"])))
-        if open_.join(top, "id", "left_anti").isEmpty():
-            return found.drop("seq")
-        candidates *= 8
+    return ancestor_counts(parents_).orderBy(F.col("ancestors").desc(), "seq").limit(1).select(F.col("id").alias("root_id"), "ancestors")

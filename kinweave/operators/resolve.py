@@ -11,9 +11,12 @@ from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kinweave.functions.text import WORD, country_token, norm_border, norm_country, number_text, tokens, trim
 from kinweave.functions.text import norm_place as _norm_place
+from kinweave.operators import spatial
+from kinweave.operators.keyed import free_names, look_up
 from kinweave.sources import reference
 
 KEY = ("place", "year", "lat", "lng")
@@ -49,19 +52,45 @@ def ancient_contradiction(place: Column | str, lat: Column | str, lng: Column |
 
 
 def geocode(keys: DataFrame, index: DataFrame) -> DataFrame:
-    """``keys`` with hit (token, ord, lat, lng, country_code, modern_country): the first part of the place that is a known name."""
-    parts = keys.select(*KEY, F.posexplode_outer(F.transform(tokens("place"), _norm_place)).alias("pos", "token"))
-    found = parts.join(index, "token", "left")
+    """``keys`` (distinct) with hit (token, entry: ord, lat, lng, country_code, modern_country): the first part of the place that is a known name.
+
+    Names are joined by hash and name, by which the index isn't dealt yet, so Spark can split a name that most places have.
+    """
+    parts = keys.select(*KEY, F.posexplode_outer(F.transform(tokens("place"), _norm_place)).alias("pos", "part")).withColumn("part_hash", F.xxhash64("part"))
+    named = index.select("token", "entry", F.xxhash64("token").alias("token_hash"))
+    found = parts.join(named, (F.col("part_hash") == F.col("token_hash")) & (F.col("part") == F.col("token")), "left")
     hit = F.min_by(F.when(F.col("entry").isNotNull(), F.struct("token", "entry")), F.when(F.col("entry").isNotNull(), F.col("pos")))
     return found.groupBy(*KEY).agg(hit.alias("hit"))
 
 
+#: Years of a bucket.
+SPAN = 64
+
+
+def as_of(years: DataFrame, snapshots: DataFrame, year: str, name: str) -> DataFrame:
+    """``years`` with column ``name``: the greatest of ``snapshots`` (snapshot) up to the row's year, else the least; null without a year.
+
+    Snapshots lie in buckets of ``SPAN`` years, each with the last one before it, for all years between the first and the
+    last. A row looks into its own bucket, so it stays one row, and there is neither a range join nor a window over rows.
+    """
+    known = snapshots.select(F.col("snapshot").cast("long").alias("s")).distinct()
+    ends = known.agg(F.min("s").alias("least"), F.max("s").alias("most"))
+    bucket = lambda x: F.floor(x / SPAN)
+    every = ends.select("least", "most", F.explode(F.sequence(bucket(F.col("least")), bucket(F.col("most")))).alias("bucket"))
+    own = known.groupBy(bucket(F.col("s")).alias("bucket")).agg(F.sort_array(F.collect_list("s")).alias("own"))
+    held = every.join(own, "bucket", "left").withColumn("before", F.max(F.array_max("own")).over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
+    held = held.select("bucket", "own", "before", "least", "most")
+    at = years.select(F.struct(*[F.col(f"`{c}`") for c in years.columns]).alias("row"), F.col(year).cast("long").alias("year_at")).withColumn("year_bucket", bucket(F.col("year_at")))
+    low, high = (known.agg(f("s")).scalar() for f in (F.min, F.max))
+    at = at.join(held, F.col("year_bucket") == F.col("bucket"), "left")
+    found = F.coalesce(F.array_max(F.filter("own", lambda x: x <= F.col("year_at"))), "before", F.when(F.col("year_at") < low, low).otherwise(high))
+    kept = [F.col("row").getField(c).alias(c) for c in years.columns if c != name]
+    return at.select(*kept, F.when(F.col("year_at").isNotNull(), found).cast("int").alias(name))
+
+
 def snapshot_year(years: DataFrame, polities: DataFrame, year: str = "year") -> DataFrame:
-    """The snapshot that holds in a year: the latest one up to it, else the earliest. There is a span for each year with a
-    snapshot at most, a few thousand rows, so they are broadcast."""
-    spans = polities.select("snapshot_year", "begin", "end").distinct()
-    holds = (F.col("begin").isNull() | (F.col(year) >= F.col("begin"))) & (F.col("end").isNull() | (F.col(year) < F.col("end")))
-    return years.join(F.broadcast(spans), holds, "left").drop("begin", "end")
+    """``years`` with snapshot_year: the snapshot that holds in a year, the latest one up to it, else the earliest; null without a year."""
+    return as_of(years, polities.select(F.col("snapshot_year").alias("snapshot")), year, "snapshot_year")
 
 
 #: Degrees of a cell of the map.
@@ -74,56 +103,34 @@ def _cells(table: DataFrame) -> DataFrame:
     return table.withColumn("cell_x", F.explode(across("w", "e"))).withColumn("cell_y", F.explode(across("s", "n")))
 
 
-def _in_box(points: DataFrame, table: DataFrame, lat: str, lng: str, also: Column | None = None) -> DataFrame:
-    """``points`` with the rows of ``table`` whose box has the point, edges included, and with nulls where there is none."""
-    at = points.withColumns({"point_x": F.floor(F.col(lng) / CELL), "point_y": F.floor(F.col(lat) / CELL)})
-    inside = F.col(lng).between(F.col("w"), F.col("e")) & F.col(lat).between(F.col("s"), F.col("n"))
-    same = (F.col("point_x") == F.col("cell_x")) & (F.col("point_y") == F.col("cell_y")) & inside
-    return at.join(_cells(table), same if also is None else same & also, "left").drop("point_x", "point_y", "cell_x", "cell_y")
-
-
 def polity_at(keys: DataFrame, polities: DataFrame, lat: str, lng: str) -> DataFrame:
-    """``keys`` with polity: the first of the snapshot that holds whose box has the point, edges included."""
-    holds = (F.col("begin").isNull() | (F.col("year") >= F.col("begin"))) & (F.col("end").isNull() | (F.col("year") < F.col("end")))
-    hit = F.struct("ord", "snapshot_year", "name", "subjecto", "part_of", "border_precision")
-    found = _in_box(keys, polities, lat, lng, holds).groupBy(*keys.columns)
-    return found.agg(F.min_by(F.when(F.col("name").isNotNull(), hit), "ord").alias("polity"))
+    """``keys`` (with year) with polity: the first of the snapshot that holds whose box has the point, edges included.
 
-
-def in_rings(lng: Column, lat: Column, polygons: Column) -> Column:
-    """Whether a point is in a polygon: an odd number of the edges of its rings lies east of it. Points on an edge are inside."""
-
-    def edge(a: Column, b: Column, then):
-        return then(a["lng"], a["lat"], b["lng"], b["lat"])
-
-    def crosses(x1, y1, x2, y2):
-        return ((y1 > lat) != (y2 > lat)) & (lng < (x2 - x1) * (lat - y1) / F.when(y2 != y1, y2 - y1) + x1)
-
-    def on(x1, y1, x2, y2):
-        flat = (x2 - x1) * (lat - y1) == (y2 - y1) * (lng - x1)
-        return flat & lng.between(F.least(x1, x2), F.greatest(x1, x2)) & lat.between(F.least(y1, y2), F.greatest(y1, y2))
-
-    def pairs(ring):
-        return F.arrays_zip(F.slice(ring, 1, F.size(ring) - 1).alias("a"), F.slice(ring, 2, F.size(ring) - 1).alias("b"))
-
-    def inside(rings):
-        edges = F.flatten(F.transform(rings, pairs))
-        odd = F.size(F.filter(edges, lambda p: edge(p["a"], p["b"], crosses))) % 2 == 1
-        return odd | F.exists(edges, lambda p: edge(p["a"], p["b"], on))
-
-    return F.exists(polygons, inside)
+    The polities of a snapshot and cell are one row, so every row of ``keys`` stays one, whatever it holds.
+    """
+    box = F.struct("ord", "snapshot_year", "name", "subjecto", "part_of", "border_precision", "w", "s", "e", "n")
+    held = _cells(polities).groupBy("snapshot_year", "cell_x", "cell_y").agg(F.sort_array(F.collect_list(box)).alias("boxes"))
+    held = held.withColumn("cell_hash", F.xxhash64("snapshot_year", "cell_x", "cell_y"))
+    year, = free_names(keys, "year_of_snapshot")
+    at = as_of(keys, polities.select(F.col("snapshot_year").alias("snapshot")), "year", year)
+    at = at.select(F.struct(*[F.col(f"`{c}`") for c in keys.columns]).alias("row"), F.col(year).alias("at_year"), F.col(lat).alias("at_lat"), F.col(lng).alias("at_lng"))
+    at = at.withColumns({"at_x": F.floor(F.col("at_lng") / CELL), "at_y": F.floor(F.col("at_lat") / CELL)}).withColumn("at_hash", F.xxhash64("at_year", "at_x", "at_y"))
+    same = (F.col("at_hash") == F.col("cell_hash")) & (F.col("at_year") == F.col("snapshot_year")) & (F.col("at_x") == F.col("cell_x")) & (F.col("at_y") == F.col("cell_y"))
+    inside = lambda b: F.col("at_lng").between(b["w"], b["e"]) & F.col("at_lat").between(b["s"], b["n"])
+    polity = F.get(F.filter("boxes", inside), F.lit(0)).dropFields("w", "s", "e", "n")
+    return at.join(held, same, "left").select(*[F.col("row").getField(c).alias(c) for c in keys.columns if c != "polity"], polity.alias("polity"))
 
 
-def _at_points(points: DataFrame, borders: DataFrame, lat: str, lng: str) -> DataFrame:
-    """``points`` with at (name, key) of the first country that has the point; its box is looked at before its rings."""
-    near = _in_box(points, borders.select("ord", "name", "key", "rings", "w", "s", "e", "n"), lat, lng)
-    hit = F.coalesce(in_rings(F.col(lng), F.col(lat), F.col("rings")), F.lit(False))
-    return near.groupBy(*points.columns).agg(F.min_by(F.when(hit, F.struct("name", "key")), F.when(hit, F.col("ord"))).alias("at"))
+def in_rings(lng: Column, lat: Column, polygons: Column) -> Column:
+    """Whether a point is in one of the polygons: an odd number of the edges of its rings lies east of it. Points on an edge are inside."""
+    return F.exists(polygons, lambda rings: spatial.inside(lng, lat, spatial.edges_of(rings)))
 
 
 def country_at(points: DataFrame, borders: DataFrame, lat: str = "lat", lng: str = "lng") -> DataFrame:
     """``points`` with point_country: the first country that has the point."""
-    return _at_points(points, borders, lat, lng).select(*points.columns, F.col("at.name").alias("point_country"))
+    at, = free_names(points, "at")
+    found = spatial.first_at(points, borders, F.col(lng), F.col(lat), at)
+    return found.select(*[F.col(f"`{c}`") for c in points.columns if c != "point_country"], F.col(at)["name"].alias("point_country"))
 
 
 def contradicts(keys: DataFrame, borders: DataFrame, country: str) -> DataFrame:
@@ -132,17 +139,18 @@ def contradicts(keys: DataFrame, borders: DataFrame, country: str) -> DataFrame:
     Countries are compared by key: the modern one that a name stands for, else the name's own if it is among the borders.
     """
     modern = lambda key: F.try_element_at(_map(reference.MODERN), key)
-    names = borders.select(F.col("key").alias("border_key")).distinct()
-    named = keys.withColumn("own_key", norm_border(country)).join(names, F.col("own_key") == F.col("border_key"), "left")
-    named = named.select(*keys.columns, F.coalesce(modern(F.col("own_key")), F.col("border_key")).alias("named_key"))
-    found = _at_points(named, borders, "lat", "lng")
-    point = F.coalesce(modern(F.col("at.key")), F.col("at.key"))
-    same = F.col("named_key") == point
+    names = borders.select(F.col("key").alias("border_key")).distinct().withColumn("border_hash", F.xxhash64("border_key"))
+    held = keys.select(F.struct(*[F.col(f"`{c}`") for c in keys.columns]).alias("row"), norm_border(country).alias("own_key"), F.col("lng").alias("at_lng"), F.col("lat").alias("at_lat"))
+    held = held.withColumn("own_hash", F.xxhash64("own_key")).join(names, (F.col("own_hash") == F.col("border_hash")) & (F.col("own_key") == F.col("border_key")), "left")
+    held = held.select("row", "at_lng", "at_lat", F.coalesce(modern(F.col("own_key")), F.col("border_key")).alias("named_key"))
+    found = spatial.first_at(held, borders, F.col("at_lng"), F.col("at_lat"), "at")
+    own, point = F.col("named_key"), F.coalesce(modern(F.col("at.key")), F.col("at.key"))
+    same = own == point
     for a, b in reference.COMPATIBLE:
-        same = same | ((F.col("named_key") == a) & (point == b)) | ((F.col("named_key") == b) & (point == a))
-    known = F.col("named_key").isNotNull()
+        same = same | ((own == a) & (point == b)) | ((own == b) & (point == a))
+    known = own.isNotNull()
     return found.select(
-        *keys.columns, F.when(known, F.col("at.name")).alias("point_country"), known.alias("string_known"),
+        *[F.col("row").getField(c).alias(c) for c in keys.columns if c not in ("point_country", "string_known", "contradicts")], F.when(known, F.col("at.name")).alias("point_country"), known.alias("string_known"),
         F.coalesce(known & point.isNotNull() & ~same, F.lit(False)).alias("contradicts"),
     )
 
@@ -286,10 +294,4 @@ def default_resolver(spark: SparkSession) -> HistoricalResolver:
 
 def resolve_rows(rows: DataFrame, resolver: Resolver) -> DataFrame:
     """``rows`` (with place, year, lat, lng) and the columns of RESULT; every distinct key is resolved once."""
-    done = resolver.resolve(rows.select(*KEY).distinct())
-    done = done.select(*[F.col(k).alias(f"key_{k}") for k in KEY], *RESULT)
-    same = None
-    for k in KEY:
-        one = F.col(k).eqNullSafe(F.col(f"key_{k}"))
-        same = one if same is None else same & one
-    return rows.join(done, same, "left").drop(*[f"key_{k}" for k in KEY])
+    return look_up(rows, {k: F.col(k) for k in KEY}, resolver.resolve, *RESULT)

@@ -5,6 +5,8 @@ Person k's parents have greater numbers, so there is no cycle; siblings share pa
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +16,11 @@ PLACES = (
     "Scot.", "U.S.A.", "Danzig, Prussia",
 )
 DATES = ("12 JAN 1850", "ABT 1918", "BET 1840 AND 1850", "1 JAN 99", "500 BC", "é1850", "", "bef 1700", "FROM 1701 TO 1710")
+DATES += tuple(a + b + c for a, b, c in product(("", "ABT ", "bef ", "aft", "(CAL) ", "to_"), ("", "3 ", "12 MAR ", "Ä", "x_"), ("7", "85", "850", "1850", "18500", "1850/51", "0900 BET 12")))
 COORDS = ("45.5236", "-122.675", "N45.5", "W122.5", "s 12", "W-3.5", "E", "12,5", "", "n90")
+COORDS += tuple(a + b + c for a, b, c in product(("", "N", "s", "W ", "e-", "X", "nn", "-"), ("0", "45", "45.5", "-45.25", "90.0001", "180.5", "1e3", ".5", "5."), ("", "x", " 1")))
 NAMES = ("Test /Subject/", "Anna", "/Only/", "A /B/ C /D/", "", "  Jo  /  /")
+NAMES += tuple(a + b.format(c) for a, b, c in product(("", "Anna", " Jo ", "J.-R. K"), ("/{}/", "/{}", "{}/", " /{}/ jr", "//{}/", "/ {} /", "{}"), ("", "Smith", " O Hara ", "de la Cruz", "Öz")))
 
 #: Polygons with a hole, of several parts, and with slanted edges, for tests: name, polygons of rings of (longitude, latitude).
 SHAPES = (
@@ -53,6 +58,23 @@ def cyclic(rows: DataFrame) -> DataFrame:
     return rows.withColumn("father", F.when(F.col("k") == 1, F.lit(0).cast("long")).otherwise(F.col("father")))
 
 
+def looped(rows: DataFrame) -> DataFrame:
+    """The same tree with a cycle of three people here and there: the father of every 256th person is that one's grandchild."""
+    return rows.withColumn("father", F.when(F.col("k") % 256 == 7, F.floor(F.col("k") / 4)).otherwise(F.col("father")))
+
+
+def coasts(rows: DataFrame) -> DataFrame:
+    """Three countries (ord, name, key, rings) south of ragged coasts, of which each customer is a corner of one: rings of a third of all customers."""
+    x = F.col("j").cast("double") / F.col("m") * 350 - 175
+    y = (F.col("k") * 7919 % 997).cast("double") / 997 * 30 + F.col("ord") * 25 - 40
+    corner = lambda lng, lat: F.struct(F.lit(lng).cast("double").alias("lng"), F.lit(lat).cast("double").alias("lat"))
+    at = rows.select("k", (F.col("k") % 3).cast("int").alias("ord"), F.floor(F.col("k") / 3).alias("j"), F.lit(rows.count()).alias("n")).withColumn("m", F.floor(F.col("n") / 3) + 1)
+    tops = at.groupBy("ord").agg(F.sort_array(F.collect_list(F.struct(x.alias("lng"), y.alias("lat")))).alias("top"))
+    ring = F.concat(F.array(corner(-175, -85)), F.col("top"), F.array(corner(175, -85), corner(-175, -85)))
+    name = F.concat(F.lit("Coast "), F.col("ord").cast("string"))
+    return tops.select("ord", name.alias("name"), F.lower(name).alias("key"), F.array(F.array(ring)).alias("rings"))
+
+
 def records(rows: DataFrame, trees: int = 25) -> DataFrame:
     """The people as stretches of files (tree, record, text), dealt over ``trees`` trees; a family record for each person with a parent."""
     tag = lambda level, name, value: F.concat(F.lit(f"{level} {name} "), value)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kinweave import schemas
 from kinweave.functions.text import norm_border, norm_place
@@ -126,13 +127,11 @@ def polities(spark: SparkSession, snapshots=None, known=None) -> DataFrame:
 
 
 def with_validity(table: DataFrame) -> DataFrame:
-    """Adds begin and end from the order of the snapshot years; a handful of years, so one small join."""
-    years = table.select("snapshot_year").distinct()
-    later = years.select(F.col("snapshot_year").alias("next_year"))
-    spans = years.join(F.broadcast(later), F.col("next_year") > F.col("snapshot_year"), "left").groupBy("snapshot_year").agg(F.min("next_year").alias("end"))
-    first = years.agg(F.min("snapshot_year").alias("first_year"))
-    spans = spans.crossJoin(F.broadcast(first)).select("snapshot_year", F.when(F.col("snapshot_year") > F.col("first_year"), F.col("snapshot_year")).alias("begin"), "end")
-    return table.join(F.broadcast(spans), "snapshot_year")
+    """Adds begin and end from the order of the different snapshot years; the first one reaches back without end."""
+    order = Window.orderBy("snapshot_year")
+    earlier = F.lag("snapshot_year").over(order)
+    spans = table.select("snapshot_year").distinct().select("snapshot_year", F.when(earlier.isNotNull(), F.col("snapshot_year")).alias("begin"), F.lead("snapshot_year").over(order).alias("end"))
+    return table.join(spans, "snapshot_year")
 
 
 def ancient(spark: SparkSession) -> DataFrame:

@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from kinweave.operators import closure
 from kinweave.operators import pedigree as P
 
 SCHEMA = "id string, seq long, father string, mother string"
@@ -55,7 +56,7 @@ def test_collapse(spark, mode):
     assert (nodes, gaps) == brute(COLLAPSE, "I1", 3)
 
 
-@pytest.mark.parametrize("mode", ["recursive", "paths"])
+@pytest.mark.parametrize("mode", ["recursive", "paths", "pooled"])
 def test_cycle(spark, mode):
     nodes, gaps = found(spark, CYCLE, "I1", 8, mode)
     assert gaps == {("P", "father"): [2, 0.25]} and nodes["Q"][2] == 0.5 and nodes["R"][2] == 0.25
@@ -80,12 +81,11 @@ def test_walk_from_many_roots(spark):
 
 
 @pytest.mark.parametrize("seed", [1])
-def test_root_of_most_ancestors(spark, monkeypatch, seed):
-    """By bounds as by counting all, ties to the first of the file; with a cycle too."""
-    monkeypatch.setattr(P, "DEEP", 5)
+def test_root_of_most_ancestors(spark, seed):
+    """Sets of bits as by walking from everybody, ties to the first of the file; with cycles too."""
     rng = random.Random(seed)
-    own = {f"p{i:03}": tuple(f"p{rng.randrange(i + 1, min(100, i + 50)):03}" if rng.random() < 0.8 and i < 85 else None for _ in range(2)) for i in range(100)}
-    for extra in ({}, {"p099": ("p050", None)}):
+    own = {f"p{i:03}": tuple(f"p{rng.randrange(i + 20, min(100, i + 60)):03}" if rng.random() < 0.8 and i < 75 else None for _ in range(2)) for i in range(100)}
+    for extra in ({}, {"p099": ("p050", "p003"), "p040": ("p040", "p041"), "p020": ("p001", "p070")}):
         tree = own | extra
         table = spark.createDataFrame([(k, i, *v) for i, (k, v) in enumerate(tree.items())], SCHEMA)
         counts = {}
@@ -97,9 +97,13 @@ def test_root_of_most_ancestors(spark, monkeypatch, seed):
                 queue += new
             counts[who] = len(seen)
         best = max(counts, key=lambda k: (counts[k], -list(tree).index(k)))
-        found = P.pick_root(table, candidates=4).first()
-        assert (found["root_id"], found["ancestors"]) == (best, counts[best])
-        assert {r["id"]: r["ancestors"] for r in P.ancestor_counts(table).collect()} == counts
+        if extra:
+            found = P.pick_root(table).first()
+            assert (found["root_id"], found["ancestors"]) == (best, counts[best])
+        sets = closure.Ancestors(table, P.edges(table))
+        assert {r["id"]: r["ancestors"] for r in sets.counts().collect()} == {k: n for k, n in counts.items() if n}
+        pairs = sets.pairs().collect()
+        assert len(set(map(tuple, pairs))) == len(pairs) == sum(counts.values())
 
 
 def test_cycles_are_seen(spark):
@@ -115,5 +119,42 @@ def test_random_trees(spark, seed):
     parents = {n: tuple(rng.choice([*names[i + 1 :], None]) if names[i + 1 :] else None for _ in range(2)) for i, n in enumerate(names)}
     for mode in ("recursive", "pooled"):
         assert found(spark, parents, "p00", 6, mode) == brute(parents, "p00", 6)
-    back = parents | {"p05": ("p00", parents["p05"][1])}
-    assert found(spark, back, "p00", 6, "recursive") == brute(back, "p00", 6)
+    back = parents | {"p05": ("p00", parents["p05"][1]), "p09": ("p06", "p09")}
+    for mode in ("recursive", "pooled"):
+        assert found(spark, back, "p00", 6, mode) == brute(back, "p00", 6)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_walk_over_cycles_from_everybody(spark, seed):
+    """Any graph, cycles within cycles: pooled as by recursion over all paths, from each person."""
+    rng = random.Random(seed)
+    names = [f"p{i}" for i in range(9)]
+    parents = {n: tuple(rng.choice([*names, None, None]) for _ in range(2)) for n in names}
+    table = spark.createDataFrame([(n, i, *parents[n]) for i, n in enumerate(names)], SCHEMA)
+    walked = P.build(table, table.selectExpr("id AS root_id"), 7, "pooled")
+    nodes, gaps = walked.nodes.collect(), walked.gaps.collect()
+    for root in names:
+        own = {r["id"]: [r["contribution_weight"], r["times_reached"], r["leaf_weight"], r["depths"]] for r in nodes if r["root_id"] == root}
+        lost = {(r["missing_parent_of"], r["slot"]): [r["depth"], r["contribution_weight"]] for r in gaps if r["root_id"] == root}
+        assert (own, lost) == brute(parents, root, 7)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_components(spark, seed):
+    rng = random.Random(seed)
+    links = {(rng.randrange(14), rng.randrange(14)) for _ in range(rng.randint(10, 24))}
+    reach = {a: {b for x, b in links if x == a} for a in range(14)}
+    for _ in range(14):
+        reach = {a: r | {y for x in r for y in reach[x]} for a, r in reach.items()}
+    want = {a: min(b for b in reach[a] if a in reach[b]) for a in range(14) if a in reach[a]}
+    found = closure.cyclic(spark.createDataFrame(sorted(links), "child_id long, parent_id long"))
+    assert {r["id"]: r["component"] for r in found.collect()} == want
+
+
+def test_people_off_cycles_are_pooled(spark):
+    """A cycle somewhere doesn't keep anybody's paths apart but those on it."""
+    own = {f"q{i:02}": (f"q{i + 1:02}", f"q{i + 1:02}") for i in range(20)} | {"a": ("b", None), "b": ("a", None)}
+    people = [*own, "q20"]
+    table = spark.createDataFrame([(p, i, *own.get(p, (None, None))) for i, p in enumerate(people)], SCHEMA)
+    walked = P.walk(table, table.selectExpr("id AS root_id"), 20, "pooled")
+    assert walked.count() == 21 * 22 // 2 + 4 and walked.filter("root_id = 'q00' and id = 'q20'").first()["visits"] == 2**20
