@@ -14,7 +14,7 @@ EVENT_TAGS = ("BIRT", "DEAT", "CHR", "BURI", "MARR")
 #: White space of any kind, and byte order marks; where a record begins: before a line of level 0.
 BLANK = "(?U:[\\s\\x{feff}])*"
 BEGIN = f"\n(?={BLANK}[+-]?0+(?![0-9]))"
-#: Records of one chunk of a file are numbered below this.
+#: Records of one stretch of a file are numbered below this; more are an error.
 CHUNK_RECORDS = 1 << 20
 
 
@@ -33,7 +33,7 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     """
     rows = spark.read.text(path, lineSep="\n0 ")
     rows = rows.select(F.input_file_name().alias("tree"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("n"), "value")
-    head = (F.col("block") == 0) & F.col("value").rlike(f"^{BLANK}[+-]?[0-9]+(?: |\\s*$|\\s*\n)")
+    head = (F.col("block") == 0) & F.col("value").rlike(f"^{BLANK}[+-]?[0-9]+[^ \n]*(?: |\\s*$|\\s*\n)")
     whole = F.when(head, F.col("value")).otherwise(F.concat(F.lit("0 "), "value"))
     return rows.select("tree", (F.col("block") + F.col("n").bitwiseAND((1 << 33) - 1)).alias("record"), whole.alias("text"))
 
@@ -97,9 +97,11 @@ def scan(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     A text is cut before its lines of level 0, and each record is read within its row, so only finished records are
     shuffled, to look for repeated references; no task holds a whole tree.
     """
-    at = F.col("record") * CHUNK_RECORDS if "record" in texts.columns else F.lit(0).cast("long")
+    stretches = "record" in texts.columns
+    at = F.col("record") * CHUNK_RECORDS if stretches else F.lit(0).cast("long")
     records = texts.select("tree", at.alias("at"), F.posexplode(F.split("text", BEGIN)).alias("pos", "text"))
-    records = records.select("tree", (F.col("at") + F.col("pos")).alias("record"), tokenize(F.col("text")).alias("lines"))
+    pos = F.when(F.col("pos") < CHUNK_RECORDS, F.col("pos")).otherwise(F.raise_error("a stretch of a file has too many records")) if stretches else F.col("pos")
+    records = records.select("tree", (F.col("at") + pos).alias("record"), tokenize(F.col("text")).alias("lines"))
     head = F.get("lines", F.lit(0))
     records = records.filter((head["level"] == 0) & head["xref"].isNotNull()).withColumns({"xref": head["xref"], "kind": head["tag"]})
 

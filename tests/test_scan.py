@@ -1,5 +1,6 @@
 """Rules of the file scan and of the text functions."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from kinweave.functions import text as T
@@ -91,3 +92,21 @@ def test_stream(spark, tmp_path):
     query = resolve_names(stream).writeStream.format("memory").queryName("named").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     query.awaitTermination()
     assert spark.table("named").select(F.col("modern_country")).first()[0] == "Norway"
+
+
+def test_first_line_of_odd_level(spark, tmp_path):
+    """A level goes up to its last digit, in the first line of a file too."""
+    (tmp_path / "odd.ged").write_text("0x @I1@ INDI\n1 NAME Ann /Lee/\n0 @I2@ INDI\n1 NAME Bo /Lee/\n")
+    people, _ = GedcomFile(spark, str(tmp_path / "odd.ged")).load()
+    assert [(r["id"], r["given"]) for r in people.orderBy("seq").collect()] == [("@I1@", "Ann"), ("@I2@", "Bo")]
+
+
+def test_numbers_of_a_stretch_never_run_into_the_next(spark, tmp_path, monkeypatch):
+    """A stretch with more records than have numbers is an error, not another order."""
+    from kinweave.sources import gedcom
+
+    (tmp_path / "many.ged").write_text("0 HEAD\n" + "".join(f"00 @I{i}@ INDI\n" for i in range(9)))
+    assert GedcomFile(spark, str(tmp_path / "many.ged")).load()[0].count() == 9
+    monkeypatch.setattr(gedcom, "CHUNK_RECORDS", 4)
+    with pytest.raises(Exception, match="too many records"):
+        GedcomFile(spark, str(tmp_path / "many.ged")).load()[0].collect()
