@@ -1,7 +1,8 @@
 """The ancestor walk: every path from a root upwards, with halving weights, a depth cap and a cycle guard.
 
 A path key ('' for the root, then F or M a step) gives the order of a depth-first, father-first walk: a prefix sorts
-first, and F before M. Weights are powers of two and sum to at most 1, so sums are exact in any order.
+first, and F before M. Weights are powers of two and sum to at most 1, so sums are exact in any order up to a cap of 52; beyond
+that the least weights may be rounded away.
 """
 
 from __future__ import annotations
