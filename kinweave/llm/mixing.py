@@ -170,8 +170,9 @@ def mix_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     text = F.coalesce(F.col("doc.text").cast("string"), F.lit(""))
     words = F.regexp_extract_all(text, F.lit(f"([^{SPACE}]+[{SPACE}]*)"), F.lit(1))
     whole = F.col("taken_words") == F.col("all_words")
-    out = held.select("row", "doc").join(spans, "row").withColumn("words", F.when(~whole, words))
-    part = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(F.col("words"), s["first"].cast("int") + 1, s["n_words"].cast("int")))), "")
-    out = out.withColumn("taken_text", F.when(whole, text).otherwise(part))
+    stretch = lambda all_, s: F.slice(all_, s["first"].cast("int") + 1, s["n_words"].cast("int"))
+    # An array of one holds the words, so that a text is split once and not anew for each of its stretches.
+    part = F.transform(F.array(words), lambda all_: F.array_join(F.flatten(F.transform("spans", lambda s: stretch(all_, s))), ""))[0]
+    out = held.select("row", "doc").join(spans, "row").withColumn("taken_text", F.when(whole, text).otherwise(part))
     new = {"text": F.col("taken_text"), "n_chars": F.char_length("taken_text").cast("long")}
     return out.select(*[new[c].alias(c) if c in new else F.col("doc").getField(c).alias(c) for c in docs.columns])
