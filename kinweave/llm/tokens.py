@@ -17,7 +17,7 @@ from kinweave.llm.common import text_of
 #: Characters of a chunk and of the first overlap; texts of up to two chunks are encoded word by word.
 CHUNK, OVERLAP = 8192, 256
 #: Words of each of the two generations that a worker holds, and bytes of a word that is held.
-HELD, HELD_BYTES = 300_000, 48
+HELD, HELD_BYTES = 150_000, 48
 #: A word that ends in stops after an ASCII or Latin-1 letter.
 STOPPED = re.compile(rb"(.*(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,;:!?]+)", re.DOTALL)
 #: Words of small ASCII letters and Latin-1 letters in UTF-8, which are one pre-token and normalised but for capitals.
