@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,7 +25,7 @@ def words(text: str) -> set[bytes]:
     return set(text.encode("utf-8", "surrogatepass").translate(TABLE).split())
 
 
-def choose_words(positive: list[set[bytes]], unlabelled: list[set[bytes]], most: int = VOCABULARY) -> list[bytes]:
+def choose_words(positive: list[Collection[bytes]], unlabelled: list[Collection[bytes]], most: int = VOCABULARY) -> list[bytes]:
     """The words whose document frequencies differ clearly, most first, by a two-sample score; ties by the word."""
     both: dict[bytes, list[int]] = {}
     for k, docs in enumerate((positive, unlabelled)):
@@ -40,7 +40,7 @@ def choose_words(positive: list[set[bytes]], unlabelled: list[set[bytes]], most:
     return [names[i] for i in sorted(np.flatnonzero(score >= LEAST_SCORE), key=lambda i: (-score[i], names[i]))[:most]]
 
 
-def _matrix(docs: list[set[bytes]], at: dict[bytes, int]) -> np.ndarray:
+def _matrix(docs: list[Collection[bytes]], at: dict[bytes, int]) -> np.ndarray:
     out = np.zeros((len(docs), len(at)), np.float32)
     for i, own in enumerate(docs):
         out[i, [at[w] for w in own if w in at]] = 1
@@ -59,7 +59,7 @@ def risk(theta: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> tup
     return positive, negative, back(up, xp), back(gp, xp) + back(gu, xu)
 
 
-def fit(positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float) -> tuple[dict[bytes, float], float]:
+def fit(positive: list[Collection[bytes]], unlabelled: list[Collection[bytes]], prior: float) -> tuple[dict[bytes, float], float]:
     """Weights of words and a bias, from confirmed toxic and unlabelled documents.
 
     Minimises prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)) with Adam; while the second part is
@@ -100,7 +100,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[bytes, float], float
     rows = checkpoint(rows.groupBy("kind", "hash").agg(F.min("text").alias("text")))
     least = lambda kind, n: [r["text"] for r in rows.filter(F.col("kind") == kind).orderBy("hash").limit(n).select("text").collect()]
     sample = {"positive": least("positive", POSITIVES), "unlabelled": least("unlabelled", UNLABELLED)}
-    own = {kind: list(dict.fromkeys(frozenset(words(x)) for x in texts)) for kind, texts in sample.items()}
+    one: dict[bytes, bytes] = {}  # each word is held once, else the sample's words would fill a tenth of the driver
+    own = {kind: list(dict.fromkeys(tuple(sorted(one.setdefault(w, w) for w in words(x))) for x in texts)) for kind, texts in sample.items()}
     return fit(own["positive"], own["unlabelled"], (seen["toxic"] or 0) / max(seen["n"], 1))
 
 
