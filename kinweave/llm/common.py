@@ -99,6 +99,19 @@ def without(held: DataFrame, dropped: DataFrame) -> DataFrame:
     return held.select("row", "doc").join(dropped, "row", "left_anti").select("doc.*")
 
 
+def looked_up(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined by an integer key with ``few``, a table that is written down.
+
+    Up to ``BROADCAST_ROWS`` it is broadcast, so long rows stay where they are. Beyond that both are dealt by the key, but only
+    after most rows that find nothing have gone: those whose hashed key has no bit among 2^24, in 2^18 words that are broadcast.
+    """
+    if few.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(few), key)
+    word, bit = F.expr(f"shiftrightunsigned(xxhash64(`{key}`), 46)"), F.expr(f"shiftleft(1L, cast(xxhash64(`{key}`) & 63 as int))")
+    bits = few.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return rows.withColumn("word", word).join(F.broadcast(bits), "word").filter(F.col("bits").bitwiseAND(bit) != 0).drop("word", "bits").join(few, key)
+
+
 def rekeyed(df: DataFrame, key: str) -> DataFrame:
     """``df``, an aggregate by an integer key, so that a join deals it by the key anew. Only then does Spark see two dealt
     tables, of which it splits a hot key's rows over several tasks."""

@@ -5,8 +5,9 @@ from __future__ import annotations
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from kinweave.llm import similar, simhash
+from kinweave.llm import common, similar, simhash
 
 COLUMNS = "doc_id long, text string, lang string, source string"
 
@@ -72,3 +73,45 @@ def test_stage_goes_by_fingerprints_then_by_the_exact_check(spark, monkeypatch):
     none = spark.createDataFrame([], "node long, component long")
     monkeypatch.setattr(similar, "meeting", lambda keys: none)
     assert sorted(r["doc_id"] for r in simhash.keep_first(docs).collect()) == by_prints
+
+
+def moved(spark):
+    return sum(x.totalShuffleWrite() for x in (lambda held: [held.apply(i) for i in range(held.size())])(spark._jsc.sc().statusStore().executorList(False)))
+
+
+def test_texts_stay_where_they_are_and_sets_move_once_a_comparison(spark, monkeypatch):
+    """What joins look up is small, so neither texts nor sets are dealt for it; when it is too large to broadcast, the rows are the same."""
+    rng = random.Random(15)
+    texts = []
+    for g in range(60):
+        base = [f"{rng.getrandbits(40):x}" for _ in range(3000)]
+        for changed in (0, 40, 100, 140):
+            own = base[:]
+            for at in rng.sample(range(599), changed):
+                own[at * 5 + 2] = f"{rng.getrandbits(40):x}"
+            texts.append(" ".join(own))
+    alone = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(30)) for _ in range(500)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts + alone)], COLUMNS).repartition(4)
+    docs = docs.localCheckpoint()
+    sets = sum(similar.shingles(x).nbytes for x in texts)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = moved(spark)
+        kept = sorted(r["doc_id"] for r in simhash.keep_first(docs).select("doc_id").collect())
+        assert moved(spark) - before < 3 * sets
+        assert len(alone) < len(kept) < len(texts + alone) and kept[-len(alone) :] == list(range(len(texts), len(texts + alone)))
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+        assert sorted(r["doc_id"] for r in simhash.keep_first(docs).select("doc_id").collect()) == kept
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_look_up_by_bits_finds_each_row(spark, monkeypatch):
+    """Too many keys to broadcast: no row that has one is lost, and few others are dealt."""
+    rows = spark.range(-5000, 5000).select(F.col("id").alias("node"), F.col("id").cast("string").alias("text"))
+    few = spark.range(-5000, 5000, 7).select(F.col("id").alias("node"), (F.col("id") * 2).alias("twice"))
+    want = sorted((r, str(r), 2 * r) for r in range(-5000, 5000, 7))
+    for most in (10**6, 10):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+        assert sorted(tuple(r) for r in common.looked_up(rows, few, "node").select("node", "text", "twice").collect()) == want
