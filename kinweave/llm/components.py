@@ -57,28 +57,28 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _large_star(links: DataFrame) -> DataFrame:
-    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    both = links.select(F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))))
     low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-    return both.filter("v > u").join(rekeyed(low, "u"), "u").select(F.col("v").alias("a"), F.col("low").alias("b"))
+    return links.select(F.col("b").alias("u"), "a").join(rekeyed(low, "u"), "u").select("a", F.col("low").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     low = links.groupBy("a").agg(F.min("b").alias("low"))
-    rest = links.join(rekeyed(low, "a"), "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-    return rest.unionByName(low.select("a", F.col("low").alias("b"))).distinct()
+    ends = F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))
+    return links.join(rekeyed(low, "a"), "a").select(F.inline(F.filter(ends, lambda x: x["a"] != x["b"]))).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node connected to it) for every node of ``links`` (a > b, long) but the smallest ones.
 
-    Alternating large-star and small-star rounds, about the logarithm of the longest chain; each round is written to
-    the shared folder. Only whether a round was the last comes to the driver.
+    Alternating large-star and small-star rounds, about the logarithm of the longest chain; each star is written to the
+    shared folder, as its rows are read twice. Only whether a round was the last comes to the driver.
     """
     # partitions of a dense group find the same smallest node, so few different links are left of it
     links = checkpoint(links.select("a", "b").mapInPandas(_contract, "a long, b long").distinct())
     while True:
-        ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        ends = links.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))))
         ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
         if ends.filter("up > 1 or (up = 1 and down = 1)").isEmpty():
             return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        links = checkpoint(_small_star(_large_star(links)))
+        links = checkpoint(_small_star(checkpoint(_large_star(links))))
